@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +31,26 @@ def local_session(cores: int | str = "*", app: str = "fixgrain", **conf: str) ->
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not have it on their path."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="fixgrain-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, f"{package.name}/{file.relative_to(package)}")
+    context.addPyFile(str(archive))
+    atexit.register(_remove_local, str(archive.parent))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -64,6 +85,7 @@ class Scratch:
     """Tables written to the shared folder to cut lineage; any executor can read them again."""
 
     def __init__(self, spark: SparkSession, tag: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
         self.count = 0
