@@ -1,7 +1,7 @@
 """All queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import groups, residue, splits, survivors
+from . import groups, mixing, quality, residue, splits, survivors
 
-_MODULES = (splits, survivors, residue, groups)
+_MODULES = (splits, survivors, residue, groups, mixing, quality)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
