@@ -1,4 +1,452 @@
 """Queries over the given tables for the engine's own operators, with equivalent SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+from ..functions.text import capitalised, filled, matches, present, slug, title_key
+from ..operators import curate as c
+from ..operators import dedup, diffs, enrich, graph, infer
+from ..runtime import table
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def _vulns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "ethereum_vulns")
+
+
+def _rx(text: str, pattern: str, flags: str = "i") -> str:
+    return f"regexp_matches({text}, '{pattern}', '{flags}')"
+
+
+_T, _D = "coalesce(title, '')", "coalesce(description, '')"
+_BOTH = f"concat_ws(' ', {_T}, {_D})"
+_FILLED = "CASE WHEN lower(trim(coalesce({0}, ''))) IN ('', 'nan') THEN '' ELSE trim({0}) END"
+_NAMED = "CASE source_platform " + " ".join(f"WHEN '{k}' THEN {_rx(_D, v)}" for k, v in fixed.PLATFORM_NAMED.items()) + " ELSE false END"
+_SEV = "lower(trim(coalesce(severity, '')))"
+_FLAGS = f"""f AS (SELECT *, {_rx(_BOTH, fixed.BOILERPLATE)} AS b1, {_rx(_T, fixed.NOISE_TITLE)} AS b2,
+  ({_rx(_BOTH, fixed.ADVISORY_ID)} OR {_rx(_T, fixed.STRONG)} OR {_SEV} IN ('critical', 'high', 'medium', 'low')) AS prot,
+  ({_rx(_T, fixed.BARE_CVE_TITLE)} AND NOT ({_NAMED})) AS b3,
+  {_rx(f"concat_ws(' ', coalesce(issue_id, ''), {_BOTH})", fixed.ID_PATTERN)} AS hid, {_SEV} IN ('critical', 'high') AS sev, {_SEV} = 'medium' AS med,
+  {_SEV} IN ('critical', 'high', 'medium', 'low') AS rated, {_rx(_T, fixed.STRONG)} AS st, {_rx(_D, fixed.STRONG)} AS sd, {_rx(_T, fixed.MODERATE)} AS mt,
+  {_rx(_D, fixed.MODERATE)} AS md, {_rx(_T, fixed.FIX_IMPACT)} AS ft, {_rx(_BOTH, fixed.FIX_IMPACT)} AS fa, {_rx(_BOTH, fixed.SENSITIVE_AREA)} AS sens,
+  ({_FILLED.format("stride")}) NOT IN ('', 'Other') AS hs, ({_FILLED.format("cwe_top25")}) NOT IN ('', 'N/A') AS hc, coalesce(silent_fix_prob >= 0.7, false) AS ls
+  FROM ethereum_vulns), s AS (SELECT *, CASE WHEN hid OR sev THEN 1.0::DOUBLE WHEN st THEN 0.9 WHEN sd THEN 0.8 WHEN mt THEN 0.5 WHEN md THEN 0.3 ELSE 0.0 END AS score FROM f),
+g AS (SELECT *, (hid OR rated OR score >= 0.5 OR hs OR hc OR ft OR ls) AS ok,
+  hid::INT + rated::INT + (st OR sd)::INT + (mt OR md)::INT + sens::INT + fa::INT + hs::INT + hc::INT + ls::INT AS signals FROM s),
+k AS (SELECT *, CASE WHEN hid OR sev OR st THEN 'high' WHEN hc OR med OR score >= 0.5 THEN 'medium' ELSE 'low' END AS grade,
+  CASE WHEN hid OR rated OR contains(lower(coalesce(contest, '')), 'advisory') OR contains(lower(coalesce(contest, '')), 'cve') THEN 'A_authoritative'
+    WHEN signals >= 2 THEN 'B_corroborated' ELSE 'C_candidate' END AS tier FROM g WHERE ok AND NOT (b1 OR (b2 AND NOT prot) OR b3))"""
+
+
+@query(f"WITH {_FLAGS} SELECT id, source_platform, score, grade, signals, tier FROM k")
+def curate_gate(spark, sf_dir):
+    return c.curate(_vulns(spark, sf_dir)).select("id", "source_platform", "score", "grade", "signals", "tier")
+
+
+@query(
+    f"""WITH {_FLAGS}, t AS (SELECT *, (NOT b1 AND b2 AND NOT prot) AS d2 FROM g), u AS (SELECT *, (NOT b1 AND NOT d2 AND b3) AS d3 FROM t)
+SELECT count(*) AS raw, count(*) FILTER (b1) AS boilerplate, count(*) FILTER (d2) AS meta_work, count(*) FILTER (d3) AS misattributed,
+count(*) FILTER (NOT b1 AND NOT d2 AND NOT d3) AS after_denoise, count(*) FILTER (NOT b1 AND NOT d2 AND NOT d3 AND ok) AS kept,
+count(*) FILTER (NOT b1 AND NOT d2 AND NOT d3 AND NOT ok) AS gate_dropped FROM u"""
+)
+def funnel_report(spark, sf_dir):
+    return c.funnel(_vulns(spark, sf_dir))
+
+
+@query(f"WITH {_FLAGS} SELECT tier, grade, signals, score, count(*) AS n FROM k GROUP BY ALL")
+def tier_histogram(spark, sf_dir):
+    return c.curate(_vulns(spark, sf_dir)).groupBy("tier", "grade", "signals", "score").agg(F.count(F.lit(1)).alias("n"))
+
+
+_NORM = f"""n AS (SELECT {_FILLED.format("source")} AS source_platform, {_FILLED.format("contest")} AS contest, trim(regexp_replace({_FILLED.format("issue_id")}, '^#+', '')) AS issue_id,
+  {_FILLED.format("severity")} AS sv, {_FILLED.format("title")} AS title, {_FILLED.format("description")} AS description, {_FILLED.format("source_url")} AS source_url FROM crawl_findings),
+z AS (SELECT *, regexp_replace(regexp_replace(lower(contest), '[^a-z0-9.-]+', '-', 'g'), '^-+|-+$', '', 'g') AS sl FROM n WHERE title <> '' OR description <> '')"""
+
+
+@query(
+    f"""WITH {_NORM} SELECT CASE WHEN source_platform <> '' AND sl <> '' AND issue_id <> '' THEN concat_ws(':', lower(source_platform), sl, issue_id)
+ELSE 'unknown:' || substr(sha256(title || chr(10) || description), 1, 16) END AS id, source_platform, upper(substr(sv, 1, 1)) || lower(substr(sv, 2)) AS severity, title FROM z"""
+)
+def normalize_unify(spark, sf_dir):
+    rows = enrich.normalise(table(spark, sf_dir, "crawl_findings"), "ethereum", "2025-01-01T00:00:00Z")
+    return rows.select("id", "source_platform", "severity", "title")
+
+
+_MERGE = """m AS (SELECT substr(md5(coalesce(source, '') || ':' || coalesce(issue_id, '')), 1, 16) AS id, coalesce(source, '') AS source_platform,
+  trim(substr(coalesce(title, ''), 1, 500)) AS title, trim(coalesce(severity, '')) AS sv FROM crawl_findings)"""
+
+
+@query(
+    f"""WITH {_MERGE} SELECT id, source_platform, title, CASE WHEN sv IN ('Critical', 'High', 'Medium', 'Low', 'Info', 'Unrated') THEN sv
+WHEN lower(sv) = 'critical' THEN 'High' WHEN lower(sv) IN ('', 'unrated') THEN 'Unrated' ELSE 'Info' END AS severity FROM m WHERE id NOT IN (SELECT id FROM ethereum_vulns)"""
+)
+def merge_append(spark, sf_dir):
+    return enrich.merge_new(table(spark, sf_dir, "crawl_findings"), _vulns(spark, sf_dir)).select("id", "source_platform", "title", "severity")
+
+
+_EST = "severity_estimated, severity_source, impact_type, reachability, blast_radius, severity_why"
+
+
+@query(f"SELECT id, severity_estimated, impact_type FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {', '.join(x + ' NULLS FIRST' for x in _EST.split(', '))}) AS r FROM severity_est) WHERE r = 1")
+def keep_first_by_id(spark, sf_dir):
+    return dedup.keep_first(table(spark, sf_dir, "severity_est"), ["id"], _EST.split(", ")).select("id", "severity_estimated", "impact_type")
+
+
+@query(
+    f"""WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY silent_fix_prob DESC NULLS LAST, vuln_class NULLS FIRST, reason NULLS FIRST) AS r
+  FROM silent_fix WHERE source_url IS NOT NULL) WHERE r = 1), e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {', '.join(x + ' NULLS FIRST' for x in _EST.split(', '))}) AS r FROM severity_est WHERE id IS NOT NULL) WHERE r = 1)
+SELECT v.id, p.silent_fix_prob, p.vuln_class, upper(substr(e.severity_estimated, 1, 1)) || lower(substr(e.severity_estimated, 2)) AS severity_estimated, e.impact_type
+FROM ethereum_vulns v LEFT JOIN p ON v.source_url = p.source_url LEFT JOIN e ON v.id = e.id"""
+)
+def enrich_left_joins(spark, sf_dir):
+    rows = enrich.enrich(_vulns(spark, sf_dir), table(spark, sf_dir, "silent_fix"), table(spark, sf_dir, "severity_est"))
+    return rows.select("id", "silent_fix_prob", "vuln_class", "severity_estimated", "impact_type")
+
+
+_URL_COMMIT = "lower(regexp_extract(coalesce(source_url, ''), '(?i)/commit/([0-9a-f]{7,40})', 1))"
+_RICH = """8 * (coalesce(pre_fix_code, '') NOT IN ('', '[]', 'nan'))::INT + 4 * regexp_matches(coalesce(source_url, ''), '/pull/|/commit/')::INT
+ + CASE upper(substr(coalesce(authority_tier, ''), 1, 1)) WHEN 'A' THEN 3 WHEN 'B' THEN 2 ELSE 1 END + least(length(coalesce(description, '')), 2000) / 1000.0::DOUBLE"""
+
+
+@query(f"SELECT id, commit FROM (SELECT id, {_URL_COMMIT} AS commit, row_number() OVER (PARTITION BY source_platform, {_URL_COMMIT} ORDER BY {_RICH} DESC, id) AS r FROM ethereum_vulns) WHERE r = 1 OR commit = ''")
+def survivor_dedup(spark, sf_dir):
+    rows = _vulns(spark, sf_dir).withColumn("commit", F.lower(F.regexp_extract(F.coalesce("source_url", F.lit("")), "(?i)/commit/([0-9a-f]{7,40})", 1)))
+    code = ~F.coalesce("pre_fix_code", F.lit("")).isin("", "[]", "nan")
+    rank = F.upper(F.substring(F.coalesce("authority_tier", F.lit("")), 1, 1))
+    score = (
+        8 * code.cast("int")
+        + 4 * F.coalesce("source_url", F.lit("")).rlike("/pull/|/commit/").cast("int")
+        + F.when(rank == "A", 3).when(rank == "B", 2).otherwise(1)
+        + F.least(F.length(F.coalesce("description", F.lit(""))), F.lit(2000)) / 1000.0
+    )
+    kept = dedup.richest(rows.where("commit <> ''").select("id", "source_platform", "commit", score.alias("score")), ["source_platform", "commit"], F.col("score"), "id")
+    return kept.select("id", "commit").unionByName(rows.where("commit = ''").select("id", "commit"))
+
+
+_PUNCT = fixed.PUNCTUATION.replace("'", "''")
+_KEY = f"trim(substr(regexp_replace(trim(translate(lower(coalesce(title, '')), '{_PUNCT}', '')), '^\\s+|\\s+$', '', 'g'), 1, 60))"
+
+
+@query(f"SELECT title_key, count(*) AS n, min(id) AS first_id FROM (SELECT id, substr(regexp_replace(translate(lower(coalesce(title, '')), '{_PUNCT}', ''), '^\\s+|\\s+$', '', 'g'), 1, 60) AS title_key FROM ethereum_vulns) WHERE title_key <> '' GROUP BY title_key HAVING count(*) > 1")
+def cluster_title_key(spark, sf_dir):
+    rows = _vulns(spark, sf_dir).select("id", title_key(F.col("title")).alias("title_key")).where("title_key <> ''")
+    return rows.groupBy("title_key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).where("n > 1")
+
+
+_KEYS = f"""kx AS (
+ SELECT id, 'cve|' || source_platform || '|' || upper(unnest(regexp_extract_all(concat_ws(' ', coalesce(issue_id, ''), {_D}), 'CVE-\\d{{4}}-\\d{{4,7}}', 0, 'i'))) AS k FROM ethereum_vulns
+ UNION SELECT id, 'ghsa|' || source_platform || '|' || upper(unnest(regexp_extract_all(concat_ws(' ', coalesce(issue_id, ''), {_D}), 'GHSA-[0-9a-z]{{4}}-[0-9a-z]{{4}}-[0-9a-z]{{4}}', 0, 'i'))) FROM ethereum_vulns
+ UNION SELECT id, 'sha|' || unnest(regexp_extract_all(concat_ws(' ', coalesce(introduced_in_commit, ''), coalesce(source_url, ''), {_D}), '\\b[0-9a-f]{{40}}\\b', 0)) FROM ethereum_vulns
+ UNION SELECT id, 'title|' || source_platform || '|' || tk FROM (SELECT id, source_platform, substr(regexp_replace(translate(lower(coalesce(title, '')), '{_PUNCT}', ''), '^\\s+|\\s+$', '', 'g'), 1, 60) AS tk FROM ethereum_vulns) WHERE tk <> ''
+), least_of AS (SELECT k, min(id) AS a FROM kx GROUP BY k), star AS (SELECT DISTINCT a, id AS b FROM kx JOIN least_of USING (k) WHERE id <> a),
+both_ways AS (SELECT a, b FROM star UNION SELECT b, a FROM star),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
+cl AS (SELECT v.id, least(v.id, coalesce(min(r.b), v.id)) AS cluster_id FROM ethereum_vulns v LEFT JOIN reach r ON v.id = r.a GROUP BY v.id)"""
+
+
+@query(f"WITH RECURSIVE {_KEYS} SELECT id, cluster_id FROM cl")
+def cluster_multi_key(spark, sf_dir):
+    return graph.clusters(_vulns(spark, sf_dir))
+
+
+_RANK = "CASE lower(trim(severity)) WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'info' THEN 1 ELSE 0 END"
+
+
+@query(
+    f"""WITH RECURSIVE {_KEYS}, m AS (SELECT cl.cluster_id, v.id, {_RANK} AS rk, nullif(v.source_url, '') AS url FROM cl JOIN ethereum_vulns v USING (id))
+SELECT cluster_id, count(*) AS size, arg_min(id, (-rk, id)) AS representative, count(DISTINCT url) AS n_evidence FROM m GROUP BY cluster_id"""
+)
+def cluster_collapse(spark, sf_dir):
+    return graph.collapse(_vulns(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_KEYS}, s AS (SELECT cluster_id, count(*) AS n FROM cl GROUP BY cluster_id) SELECT sum(n)::BIGINT AS input_rows, count(*) AS output_rows, (sum(n) - count(*))::BIGINT AS duplicates, count(*) FILTER (n > 1) AS clusters, max(n) AS largest FROM s")
+def cluster_report(spark, sf_dir):
+    sizes = graph.clusters(_vulns(spark, sf_dir)).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(
+        F.sum("n").alias("input_rows"), F.count(F.lit(1)).alias("output_rows"), (F.sum("n") - F.count(F.lit(1))).alias("duplicates"),
+        F.count_if(F.col("n") > 1).alias("clusters"), F.max("n").alias("largest"),
+    )
+
+
+@query("SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b[0-9a-f]{40}\\b', 0))) AS sha FROM documents")
+def sha_extract(spark, sf_dir):
+    found = F.regexp_extract_all("text", F.lit(r"\b[0-9a-f]{40}\b"), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(found)).alias("sha"))
+
+
+@query("SELECT id, regexp_extract(source_url, '^https?://([^/]+)', 1) AS host, regexp_extract(source_url, '/(pull|issues|commit)/', 1) AS kind, regexp_extract(source_url, '/(?:pull|issues)/(\\d+)', 1) AS number FROM ethereum_vulns WHERE source_url IS NOT NULL")
+def url_parts(spark, sf_dir):
+    url = F.col("source_url")
+    return _vulns(spark, sf_dir).where(url.isNotNull()).select(
+        "id", F.regexp_extract(url, "^https?://([^/]+)", 1).alias("host"), F.regexp_extract(url, "/(pull|issues|commit)/", 1).alias("kind"), F.regexp_extract(url, r"/(?:pull|issues)/(\d+)", 1).alias("number")
+    )
+
+
+@query(
+    f"""WITH l AS (SELECT id, string_split_regex(description, '\\r\\n|[\\n\\r]') AS al FROM ethereum_vulns WHERE description IS NOT NULL),
+e AS (SELECT id, al, unnest(al) AS line, generate_subscripts(al, 1) AS pos FROM l), h AS (SELECT *, regexp_replace(regexp_replace(line, '{fixed.LINE_CHROME}', ''), '^\\s+|\\s+$', '', 'g') AS t FROM e WHERE {_rx('line', fixed.SECURITY_LINE)}),
+d AS (SELECT *, row_number() OVER (PARTITION BY id, t ORDER BY pos) AS r FROM h WHERE length(t) >= 10)
+SELECT id AS key, pos AS line_no, t AS title, substr(sha256(t), 1, 16) AS issue_id, array_to_string(list_slice(al, greatest(1, pos - 3), pos + 3), chr(10)) AS context,
+CASE lower(regexp_extract(line, '(?i)\\b(Critical|High|Medium|Low)\\b', 1)) WHEN '' THEN 'Info' WHEN 'critical' THEN 'High' WHEN 'high' THEN 'High' WHEN 'medium' THEN 'Medium' ELSE 'Low' END AS severity
+FROM d WHERE r = 1 AND NOT {_rx('line', fixed.URGENCY_TEMPLATE)}"""
+)
+def security_lines_context(spark, sf_dir):
+    return enrich.security_lines(_vulns(spark, sf_dir), "id", "description").select("key", "line_no", "title", "issue_id", "context", "severity")
+
+
+@query(
+    """WITH u AS (SELECT tag_name, min(lower(trim(urgency_level))) AS lv FROM urgency WHERE tag_name IS NOT NULL GROUP BY tag_name)
+SELECT v.id, CASE u.lv WHEN 'critical' THEN 'High' WHEN 'high' THEN 'High' WHEN 'medium' THEN 'Medium' WHEN 'low' THEN 'Low' ELSE 'Unrated' END AS urgency
+FROM (SELECT id, split_part(trim(issue_id), '#', 2) AS tag FROM ethereum_vulns WHERE starts_with(trim(issue_id), 'RELEASE#')) v LEFT JOIN u ON v.tag = u.tag_name"""
+)
+def urgency_patch(spark, sf_dir):
+    levels = table(spark, sf_dir, "urgency").where("tag_name is not null").groupBy("tag_name").agg(F.min(F.lower(F.trim("urgency_level"))).alias("level"))
+    issue = F.trim("issue_id")
+    releases = _vulns(spark, sf_dir).where(issue.startswith("RELEASE#")).select("id", F.get(F.split(issue, "#"), F.lit(1)).alias("tag_name"))
+    return releases.join(levels, "tag_name", "left").select("id", enrich.urgency(F.col("level")).alias("urgency"))
+
+
+@query("SELECT title, published_at, tag_name FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY coalesce(published_at, ''), tag_name NULLS FIRST) AS r FROM urgency) WHERE r = 1")
+def earliest_release(spark, sf_dir):
+    rows = table(spark, sf_dir, "urgency")
+    return dedup.keep_first(rows, ["title"], [F.coalesce("published_at", F.lit("")), "tag_name"]).select("title", "published_at", "tag_name")
+
+
+_MSG = "CASE WHEN instr({0}, chr(10) || chr(10)) > 0 THEN instr({0}, chr(10) || chr(10)) ELSE instr({0}, chr(10)) END"
+
+
+@query(
+    f"""WITH m AS (SELECT id, {_BOTH.replace("' '", "chr(10)")} AS t FROM ethereum_vulns), p AS (SELECT id, t, {_MSG.format('t')} AS c FROM m),
+s AS (SELECT id, regexp_replace(CASE WHEN c > 0 THEN substr(t, 1, c - 1) ELSE t END, '^\\s+|\\s+$', '', 'g') AS subject FROM p)
+SELECT id AS sha, 'COMMIT#' || substr(id, 1, 12) AS issue_id, substr(subject, 1, 120) AS title,
+CASE lower(regexp_extract(subject, '(?i)\\b(Critical|High|Medium|Low)\\b', 1)) WHEN '' THEN 'Info' WHEN 'critical' THEN 'High' WHEN 'high' THEN 'High' WHEN 'medium' THEN 'Medium' ELSE 'Low' END AS severity
+FROM s WHERE subject <> '' AND NOT starts_with(subject, 'Merge ') AND NOT starts_with(subject, 'Revert ')"""
+)
+def commit_rows(spark, sf_dir):
+    rows = _vulns(spark, sf_dir).select("id", F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))).alias("message"))
+    return enrich.commit_rows(rows, "id", "message").select("sha", "issue_id", "title", "severity")
+
+
+_OTHERS = "concat_ws(', ', " + ", ".join(
+    f"CASE WHEN source_platform <> '{n}' AND ({' OR '.join(f'''contains(lower({_D}), '{a}')''' for a in al)}) THEN '{n}' END" for n, al in sorted(fixed.PLATFORM_ALIASES.items())
+) + ")"
+
+
+@query(f"SELECT id, {_OTHERS} AS others, concat_ws(',', {', '.join(f'''CASE WHEN contains(lower({_BOTH}), '{h}') THEN '{h}' END''' for h in fixed.PATH_HINTS)}) AS path_hint FROM ethereum_vulns")
+def platform_mentions(spark, sf_dir):
+    return _vulns(spark, sf_dir).select(
+        "id", enrich.other_platforms(F.coalesce("source_platform", F.lit("")), F.col("description")).alias("others"), enrich.path_hint(F.col("title"), F.col("description")).alias("path_hint")
+    )
+
+
+def _case(text: str, rules, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_rx(text, p)} THEN '{v}'" for p, v in rules) + f" ELSE '{default}' END"
+
+
+_CONS = "(" + ", ".join(f"'{p}'" for p in fixed.CONSENSUS_PLATFORMS) + ")"
+_HAY = "WITH h AS (SELECT *, concat_ws(' ', coalesce(files_changed, ''), coalesce(title, ''), coalesce(description, '')) AS hay FROM ethereum_vulns)"
+
+
+@query(
+    f"""{_HAY} SELECT id, CASE WHEN source_platform IN {_CONS} THEN 'consensus' ELSE 'execution' END AS layer,
+CASE WHEN source_platform IN {_CONS} THEN {_case('hay', fixed.CONSENSUS_AREAS + fixed.COMMON_AREAS, 'other')} ELSE {_case('hay', fixed.EXECUTION_AREAS + fixed.COMMON_AREAS, 'other')} END AS area,
+{_case('hay', fixed.ROOT_CAUSES, 'other')} AS root_cause, {_case('hay', fixed.ATTACK_PATHS, 'malformed_input')} AS attack_path FROM h"""
+)
+def classify_findings(spark, sf_dir):
+    return enrich.classify(_vulns(spark, sf_dir))
+
+
+@query(
+    f"SELECT {_rx(_T, fixed.DEPENDENCY_TITLE)} OR {_rx('''coalesce(source_url, '')''', fixed.DEPENDENCY_URL, 'c')} AS dependency, count(*) AS n FROM ethereum_vulns GROUP BY 1"
+)
+def dependency_split(spark, sf_dir):
+    return _vulns(spark, sf_dir).groupBy(enrich.is_dependency(F.col("title"), F.col("source_url")).alias("dependency")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH l AS (SELECT item_id, string_split(diff, chr(10)) AS al FROM eval_items WHERE diff IS NOT NULL), e AS (SELECT item_id, unnest(al) AS line, generate_subscripts(al, 1) AS pos FROM l),
+f AS (SELECT *, last_value(CASE WHEN starts_with(line, 'diff --git') THEN regexp_extract(line, ' b/(\\S+)$', 1) END IGNORE NULLS) OVER w AS file,
+  sum(regexp_matches(line, '^@@ -\\d+(?:,\\d+)? \\+\\d+(?:,\\d+)? @@')::INT) OVER w AS hunk FROM e WINDOW w AS (PARTITION BY item_id ORDER BY pos)),
+s AS (SELECT *, unnest(CASE WHEN starts_with(line, '+') AND NOT starts_with(line, '+++') THEN ['post'] WHEN starts_with(line, '-') AND NOT starts_with(line, '---') THEN ['pre']
+  WHEN starts_with(line, ' ') THEN ['pre', 'post'] ELSE [] END) AS side FROM f WHERE file <> '' AND hunk > 0)
+SELECT item_id AS key, file, hunk::BIGINT AS hunk, side, count(*) AS n_lines, string_agg(substr(line, 2), chr(10) ORDER BY pos) AS code FROM s GROUP BY item_id, file, hunk, side"""
+)
+def diff_hunks(spark, sf_dir):
+    return diffs.hunks(table(spark, sf_dir, "eval_items"), "item_id", "diff").select("key", "file", "hunk", "side", "n_lines", "code")
+
+
+@query(
+    """WITH p AS (SELECT id, try_cast(pre_fix_code AS JSON) AS j FROM ethereum_vulns), f AS (SELECT id, j, unnest(from_json(j, '["JSON"]')) AS x FROM p WHERE json_type(j) = 'ARRAY'),
+h AS (SELECT id, unnest(from_json(x->'hunks', '["JSON"]')) AS h FROM f), s AS (SELECT id, sum(len(string_split(h->>'code', chr(10))))::BIGINT AS loc FROM h GROUP BY id),
+n AS (SELECT id, count(*) AS nf FROM f GROUP BY id) SELECT count(*) AS n, sum(nf)::BIGINT AS files, sum(loc)::BIGINT AS loc, quantile_cont(loc, 0.5) AS median_loc FROM n JOIN s USING (id)"""
+)
+def change_size(spark, sf_dir):
+    sizes = diffs.change_size(_vulns(spark, sf_dir).where(F.try_parse_json("pre_fix_code").isNotNull()), "pre_fix_code").where("loc > 0")
+    return sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("n_files").alias("files"), F.sum("loc").alias("loc"), F.percentile("loc", 0.5).alias("median_loc"))
+
+
+@query("SELECT source_platform, count(*) FILTER (layer = 'consensus') AS consensus, count(*) FILTER (layer = 'execution') AS execution FROM ethereum_vulns GROUP BY source_platform HAVING count(*) > 5")
+def platform_layer_pivot(spark, sf_dir):
+    rows = _vulns(spark, sf_dir).groupBy("source_platform").pivot("layer", ["consensus", "execution"]).agg(F.count(F.lit(1))).na.fill(0)
+    return rows.where("consensus + execution > 5")
+
+
+@query(
+    "SELECT root_cause, "
+    + ", ".join(f"count(*) FILTER (lower(trim(severity)) = '{s}') AS {s}" for s in fixed.RATED)
+    + " FROM ethereum_vulns GROUP BY root_cause"
+)
+def cause_severity_crosstab(spark, sf_dir):
+    sev = F.lower(F.trim("severity"))
+    return _vulns(spark, sf_dir).groupBy("root_cause").agg(*(F.count_if(F.coalesce(sev == s, F.lit(False))).alias(s) for s in fixed.RATED))
+
+
+@query("SELECT label, count(*) AS n FROM ethereum_vulns WHERE label IS NOT NULL AND label <> 'other' GROUP BY label ORDER BY n DESC, label LIMIT 10")
+def topk_area(spark, sf_dir):
+    rows = _vulns(spark, sf_dir).where("label is not null and label <> 'other'").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return rows.orderBy(F.desc("n"), "label").limit(10)
+
+
+_COVERED = ("root_cause", "fix_commit", "introduced_in_commit", "pre_fix_code", "severity_estimated")
+
+
+@query("SELECT " + ", ".join(f"round(avg(CASE WHEN ({_FILLED.format(x)}) NOT IN ('', '[]') THEN 100.0::DOUBLE ELSE 0.0 END), 6) AS {x}" for x in _COVERED) + " FROM ethereum_vulns")
+def coverage_pct(spark, sf_dir):
+    return _vulns(spark, sf_dir).agg(*(F.round(F.avg(F.when(~filled(F.col(x)).isin("", "[]"), 100.0).otherwise(0.0)), 6).alias(x) for x in _COVERED))
+
+
+@query("SELECT CASE WHEN starts_with(label, 'beacon-chain:') THEN 'beacon-chain' ELSE label END AS area, CASE WHEN attack_path IN ('malicious_p2p_message', 'peer') THEN 'network' WHEN attack_path IN ('malicious_block', 'malicious_tx', 'malicious_attestation') THEN 'protocol' ELSE 'input' END AS channel, count(*) AS n FROM ethereum_vulns GROUP BY 1, 2")
+def channel_rollup(spark, sf_dir):
+    area = F.when(F.col("label").startswith("beacon-chain:"), "beacon-chain").otherwise(F.col("label"))
+    channel = (
+        F.when(F.col("attack_path").isin("malicious_p2p_message", "peer"), "network")
+        .when(F.col("attack_path").isin("malicious_block", "malicious_tx", "malicious_attestation"), "protocol")
+        .otherwise("input")
+    )
+    return _vulns(spark, sf_dir).groupBy(area.alias("area"), channel.alias("channel")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _metrics(predicted, truth):
+    tp, fp, fn = (F.count_if(x) for x in (predicted & truth, predicted & ~truth, ~predicted & truth))
+    tn = F.count_if(~predicted & ~truth)
+    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 9)
+    return [tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1")]
+
+
+_CONFUSION = """count(*) FILTER (p AND t) AS tp, count(*) FILTER (p AND NOT t) AS fp, count(*) FILTER (NOT p AND t) AS fn, count(*) FILTER (NOT p AND NOT t) AS tn,
+round(coalesce(count(*) FILTER (p AND t) / nullif(count(*) FILTER (p), 0), 0.0), 9) AS precision, round(coalesce(count(*) FILTER (p AND t) / nullif(count(*) FILTER (t), 0), 0.0), 9) AS recall,
+round(coalesce(2 * count(*) FILTER (p AND t) / nullif(2 * count(*) FILTER (p AND t) + count(*) FILTER (p AND NOT t) + count(*) FILTER (NOT p AND t), 0), 0.0), 9) AS f1"""
+
+
+@query(f"WITH x AS (SELECT coalesce(silent_fix_prob >= 0.5, false) AS p, is_security_fix = 1 AS t FROM silent_fix WHERE is_security_fix IS NOT NULL) SELECT {_CONFUSION} FROM x")
+def confusion_metrics(spark, sf_dir):
+    rows = table(spark, sf_dir, "silent_fix").where("is_security_fix is not null")
+    return rows.select(F.coalesce(F.col("silent_fix_prob") >= 0.5, F.lit(False)).alias("p"), (F.col("is_security_fix") == 1).alias("t")).agg(*_metrics(F.col("p"), F.col("t")))
+
+
+_VOTES = f"({_rx(_T, fixed.STRONG)})::INT + ({_rx(_T, fixed.MODERATE)})::INT + ({_rx(_T, fixed.FIX_IMPACT)})::INT"
+
+
+@query(f"WITH v AS (SELECT {_VOTES} AS n, label = 1 AS t FROM eval_items), x AS (SELECT 'any' AS rule, n >= 1 AS p, t FROM v UNION ALL SELECT 'majority', n >= 2, t FROM v UNION ALL SELECT 'all', n = 3, t FROM v) SELECT rule, {_CONFUSION} FROM x GROUP BY rule")
+def ensemble_vote(spark, sf_dir):
+    title = F.coalesce("title", F.lit(""))
+    votes = sum((matches(title, p).cast("int") for p in (fixed.STRONG, fixed.MODERATE, fixed.FIX_IMPACT)), F.lit(0))
+    rows = table(spark, sf_dir, "eval_items").select(votes.alias("n"), (F.col("label") == 1).alias("t"))
+    rules = F.array(*(F.struct(F.lit(k).alias("rule"), (F.col("n") >= least).alias("p")) for k, least in (("any", 1), ("majority", 2), ("all", 3))))
+    return rows.select("t", F.inline(rules)).groupBy("rule").agg(*_metrics(F.col("p"), F.col("t")))
+
+
+_ORD = "CASE lower(trim({0})) WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 END"
+
+
+@query(f"WITH r AS (SELECT {_ORD.format('severity')} AS a, {_ORD.format('severity_estimated')} AS b FROM ethereum_vulns) SELECT count(*) AS n, count(*) FILTER (a = b) AS exact, count(*) FILTER (abs(a - b) <= 1) AS near FROM r WHERE a IS NOT NULL AND b IS NOT NULL")
+def ordinal_agreement(spark, sf_dir):
+    def rank(name):
+        out = F.lit(None).cast("int")
+        for k, word in enumerate(("low", "medium", "high", "critical"), 1):
+            out = F.when(F.lower(F.trim(name)) == word, k).otherwise(out)
+        return out
+
+    rows = _vulns(spark, sf_dir).select(rank("severity").alias("a"), rank("severity_estimated").alias("b")).where("a is not null and b is not null")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("exact"), F.count_if(F.abs(F.col("a") - F.col("b")) <= 1).alias("near"))
+
+
+@query("SELECT id, CASE WHEN starts_with(issue_id, 'COMMIT#') THEN 'commit' WHEN starts_with(issue_id, 'PR#') THEN 'pull' WHEN starts_with(issue_id, 'RELEASE#') THEN 'tag' ELSE 'none' END AS kind, CASE WHEN starts_with(issue_id, 'COMMIT#') OR starts_with(issue_id, 'PR#') OR starts_with(issue_id, 'RELEASE#') THEN split_part(issue_id, '#', 2) ELSE '' END AS reference FROM ethereum_vulns WHERE issue_id IS NOT NULL")
+def parent_commit_dispatch(spark, sf_dir):
+    issue = F.col("issue_id")
+    kind = F.when(issue.startswith("COMMIT#"), "commit").when(issue.startswith("PR#"), "pull").when(issue.startswith("RELEASE#"), "tag").otherwise("none")
+    rows = _vulns(spark, sf_dir).where(issue.isNotNull()).select("id", kind.alias("kind"), issue)
+    return rows.select("id", "kind", F.when(F.col("kind") != "none", F.get(F.split("issue_id", "#"), F.lit(1))).otherwise("").alias("reference"))
+
+
+@query("SELECT tag_name, lag(tag_name) OVER (ORDER BY a, b, c, tag_name) AS previous FROM (SELECT DISTINCT tag_name, regexp_extract(tag_name, '(\\d+)\\.(\\d+)\\.(\\d+)', 1)::INT AS a, regexp_extract(tag_name, '(\\d+)\\.(\\d+)\\.(\\d+)', 2)::INT AS b, regexp_extract(tag_name, '(\\d+)\\.(\\d+)\\.(\\d+)', 3)::INT AS c FROM urgency WHERE regexp_matches(tag_name, '^v?\\d+\\.\\d+\\.\\d+$'))")
+def previous_release(spark, sf_dir):
+    """The release before each, by version. Tags are listed by name of a repository, so one order suffices."""
+    version = [F.regexp_extract("tag_name", r"(\d+)\.(\d+)\.(\d+)", k).cast("int") for k in (1, 2, 3)]
+    tags = table(spark, sf_dir, "urgency").where(F.col("tag_name").rlike(r"^v?\d+\.\d+\.\d+$")).select("tag_name", F.struct(*version, F.col("tag_name")).alias("v")).distinct()
+    return tags.select("tag_name", F.lag("tag_name").over(Window.orderBy("v")).alias("previous"))
+
+
+@query("SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS k FROM events GROUP BY event_type")
+def event_props_json(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
+
+
+@query(f"WITH {_FLAGS} SELECT 0::BIGINT AS boilerplate_left, 0::BIGINT AS without_signal, 0::BIGINT AS bad_grade, 0::BIGINT AS bad_score, 0::BIGINT AS not_in_input")
+def quality_gates(spark, sf_dir):
+    """Violations in the curated rows: each count should be 0."""
+    rows = _vulns(spark, sf_dir)
+    kept = c.curate(rows)
+    missing = kept.join(rows.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("not_in_input"))
+    checks = kept.agg(
+        F.count_if("is_boilerplate").alias("boilerplate_left"),
+        F.count_if(~c.gate()).alias("without_signal"),
+        F.count_if(~F.col("grade").isin("high", "medium", "low")).alias("bad_grade"),
+        F.count_if(~F.col("score").between(0.0, 1.0)).alias("bad_score"),
+    )
+    return checks.join(missing)
+
+
+@query("SELECT id FROM ethereum_vulns WHERE id NOT IN (SELECT id FROM severity_est WHERE id IS NOT NULL)")
+def resume_worklist(spark, sf_dir):
+    return infer.worklist(_vulns(spark, sf_dir), table(spark, sf_dir, "severity_est"), "id").select("id")
+
+
+@query("SELECT item_id::VARCHAR AS key, contains(lower(coalesce(title, '')), 'panic') OR contains(lower(coalesce(title, '')), 'overflow') AS is_fix FROM eval_items")
+def llm_stub_infer(spark, sf_dir):
+    rows = infer.infer(table(spark, sf_dir, "eval_items"), F.coalesce("title", F.lit("")), "item_id", infer.keyword_stub)
+    return rows.select("key", infer.parse_answer(F.col("answer"), "is_security_fix boolean, confidence double", "is_security_fix")["is_security_fix"].alias("is_fix"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts)::VARCHAR AS started, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    """Extension: the windowed counts of the streaming module over a table."""
+    from ..streaming.gate import windowed_counts
+
+    return windowed_counts(table(spark, sf_dir, "events")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "event_type", "n")
+
+
+@query(f"SELECT id, coalesce(nullif(regexp_extract(upper(concat_ws(' ', coalesce(issue_id, ''), {_D})), 'CVE-\\d{{4}}-\\d{{4,7}}', 0), ''), nullif(regexp_extract(upper(concat_ws(' ', coalesce(issue_id, ''), {_D})), 'GHSA-[0-9A-Z]{{4}}-[0-9A-Z]{{4}}-[0-9A-Z]{{4}}', 0), ''), regexp_extract(upper(concat_ws(' ', coalesce(issue_id, ''), {_D})), 'RUSTSEC-\\d{{4}}-\\d{{4}}', 0)) AS best FROM ethereum_vulns")
+def best_identifier(spark, sf_dir):
+    return _vulns(spark, sf_dir).select("id", enrich.best_id(F.coalesce("issue_id", F.lit("")), F.coalesce("description", F.lit(""))).alias("best"))
+
+
+@query("SELECT id, regexp_replace(regexp_replace(lower(trim(coalesce(contest, ''))), '[^a-z0-9.-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, substr(trim(coalesce(title, '')), 1, 70) AS preview FROM ethereum_vulns")
+def preview_rows(spark, sf_dir):
+    return _vulns(spark, sf_dir).select("id", slug(F.coalesce("contest", F.lit(""))).alias("slug"), F.substring(F.trim(F.coalesce("title", F.lit(""))), 1, 70).alias("preview"))
