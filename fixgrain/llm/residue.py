@@ -9,19 +9,22 @@ some hosts held out. An exact check of the same rules follows for scores that ar
 from __future__ import annotations
 
 import itertools
+import math
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import table
 
 #: Records in the training sample; half of them are taken among those with a suspicious phrase.
 SAMPLE = 6000
+#: Records searched for the sample, as a multiple of it.
+POOL = 6
 #: Hashed features: weights are an array of this fixed size.
 WIDTH = 1 << 17
 #: Scores from which a segment is a candidate, and from which no rule has to confirm it.
@@ -206,12 +209,16 @@ def held_out(host: Column) -> Column:
 
 
 def training_sample(records: DataFrame, host: str = "source_platform", sample: int = SAMPLE) -> list:
-    """At most ``sample`` rows (title, description, unseen, odd), half of them with a suspicious phrase."""
+    """At most ``sample`` rows (title, description, unseen, odd), half of them with a suspicious phrase.
+
+    They are looked for among POOL times as many records, those in one range of the hash.
+    """
+    order = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(11)), F.lit(1_000_000))
+    part = min(1_000_000, math.ceil(1_000_000 * POOL * sample / max(1, records.count())))
     text = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
-    base = records.select("id", "title", "description", held_out(F.col(host)).alias("unseen"), text.rlike(SUSPICIOUS).alias("odd"))
-    order = F.xxhash64(F.coalesce("id", F.lit("")), F.lit(11))
-    halves = [base.where(F.col("odd") == flag).orderBy(order).limit(sample // 2).drop("id") for flag in (True, False)]
-    return halves[0].unionByName(halves[1]).collect()
+    pool = records.where(order < part).select("title", "description", held_out(F.col(host)).alias("unseen"), text.rlike(SUSPICIOUS).alias("odd"))
+    rank = F.row_number().over(Window.partitionBy("odd").orderBy(F.xxhash64("title", "description"), "title", "description"))
+    return pool.withColumn("rank", rank).where(F.col("rank") <= sample // 2).drop("rank").collect()
 
 
 def train(records: DataFrame, host: str = "source_platform", sample: int = SAMPLE) -> np.ndarray:
