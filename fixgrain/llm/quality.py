@@ -20,11 +20,10 @@ from ..runtime import Scratch, table
 
 # Common words of English, German, French and Spanish.
 DETERMINERS = frozenset(
-    "the a an this these its our their your dem des ein eine einen einem einer dieser diese dieses "
-    "le la les un une ce cette ces son sa ses el los las una unos este esta su sus lo".split()
+    "the a an its our their your dem des ein eine einen einem einer le la les un une ces ses el los las una unos su sus lo".split()
 )
 LINKS = frozenset(
-    "der die das den that of in to on at by for with from and or as is are was were be been has have had not but if then than so no it we they "
+    "der die das den that this these dieser diese dieses ce cette son sa este esta of in to on at by for with from and or as is are was were be been has have had not but if then than so no it we they "
     "von mit zu im am auf und oder ist sind war wenn dass nicht sich wir es er sie aus bei nach für als auch "
     "de du à au aux en et ou est sont dans sur par pour avec que qui ne pas il elle on nous plus "
     "y o es son con por para del al que se no ha fue como cuando si pero más".split()
