@@ -118,6 +118,10 @@ ATTACK_PATHS = (
 CONSENSUS_AREAS = (
     (r"das[-_/]|data[-_]?column|peer[-_]?das|column[-_]?sidecar|sampling", "data-availability-sampling"),
     (r"kzg|blob[-_]?sidecar|polynomial[-_]?commit|4844|c-kzg", "kzg-commitments"),
+    (
+        r"\bepbs\b|payload[-_]?attestation|builder[-_]?(?:bid|api|payload)|blinded[-_]?(?:block|beacon)|mev[-_]?boost|\bptc\b|execution[-_]?payload[-_]?envelope",
+        "builder",
+    ),
     (r"light[-_]?client", "light-client"),
     (r"weak[-_]?subjectivity", "weak-subjectivity"),
     (r"deposit[-_]?contract", "deposit-contract"),
@@ -130,6 +134,14 @@ CONSENSUS_AREAS = (
     (r"voluntary[-_]?exit|consolidat|\bexit\b", "beacon-chain:exit-consolidation"),
     (r"\bdeposit", "beacon-chain:deposit"),
     (r"justif|finali[sz]ation|\bffg\b|process_justif", "beacon-chain:justification-and-finality"),
+    (r"rewards?[-_]?and[-_]?penal|\breward|penalt|inactivity", "beacon-chain:rewards-and-penalties"),
+    (r"registry[-_]?update|activation[-_]?queue|exit[-_]?queue|\bchurn|activation_eligibility", "beacon-chain:registry-updates"),
+    (r"effective[-_]?balance", "beacon-chain:effective-balance-updates"),
+    (
+        r"epoch[-_]?process|process_epoch|historical_summar|historical_root|participation_flag|randao_mix|slashings_reset|eth1_data_reset",
+        "beacon-chain:epoch-processing",
+    ),
+    (r"block[-_]?process|process_block|block_header|randao|eth1[-_]?data", "beacon-chain:block-processing"),
     (r"gossip|req[-_]?resp|reqresp|discv5|/enr|network|/p2p|libp2p", "p2p-interface"),
     (r"\bbls\b|signature[-_]?verif", "bls"),
     (r"/fork\b|fork\.py|upgrade_to|state_upgrade", "fork-transition"),
@@ -157,8 +169,13 @@ COMMON_AREAS = (
     (r"crypto|secp256|ecrecover|keccak|\bhash\b|blst|bn256|bls12|schnorr", "crypto"),
     (r"\bssz\b|serial|encode|decode|marshal|unmarshal|codec", "serialization"),
     (r"leveldb|rocksdb|pebble|/db\b|database|/ethdb|/storage/kv", "database"),
+    (
+        r"\.github|\.circleci|dockerfile|docker-compose|\.gradle\b|gradle/|makefile\b|/build/|verification-metadata|renovate|/vendor/|docs/vulnerab|go\.mod\b"
+        r"|go\.sum|package-lock|yarn\.lock|Cargo\.(?:toml|lock)|\.ya?ml\b",
+        "build-ci",
+    ),
     (r"metric|diagnostic|prometheus|grafana|observ|telemetr|tracing|\botel\b", "metrics-observability"),
-    (r"\bcmd/|/cli/|main\.(?:go|rs)\b|/flags?/|command\.java", "cli"),
+    (r"\bcmd/|/cli/|main\.(?:go|rs)\b|BesuCommand|/flags?/|command\.java", "cli"),
     (r"_test\.(?:go|rs|py|ts|js)|/tests?/|testhelper|mock_|spec\.(?:ts|js)|\bfuzz", "test"),
 )
 # ASCII punctuation.
