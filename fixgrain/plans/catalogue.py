@@ -450,3 +450,41 @@ def best_identifier(spark, sf_dir):
 @query("SELECT id, regexp_replace(regexp_replace(lower(trim(coalesce(contest, ''))), '[^a-z0-9.-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, substr(trim(coalesce(title, '')), 1, 70) AS preview FROM ethereum_vulns")
 def preview_rows(spark, sf_dir):
     return _vulns(spark, sf_dir).select("id", slug(F.coalesce("contest", F.lit(""))).alias("slug"), F.substring(F.trim(F.coalesce("title", F.lit(""))), 1, 70).alias("preview"))
+
+
+_FEATURE = r"\b(?:feat|feature|refactor|perf|rename|cleanup|clean up|implement|add support|introduce|improve|optimi[sz]e|simplify|migrate|style|move)\b"
+_DEP = f"({_rx(_T, fixed.DEPENDENCY_TITLE)} OR {_rx('''coalesce(source_url, '')''', fixed.DEPENDENCY_URL, 'c')})"
+
+
+@query(
+    f"""WITH b AS (SELECT id, regexp_matches(coalesce(source_url, ''), '/pull/|/commit/') AS u, {_rx(_BOTH, 'CVE-[0-9]{4}-[0-9]{4,7}|GHSA-')} AS hid, {_DEP} AS dep,
+  {_rx(_T, fixed.FIX_IMPACT)} AS fi, {_rx(_T, _FEATURE)} AS fe, {_rx(_T, fixed.STRONG)} AS st FROM ethereum_vulns),
+l AS (SELECT id, CASE WHEN u AND NOT dep AND (hid OR fi) THEN 1 WHEN u AND fe AND NOT st AND NOT hid THEN 0 END AS label FROM b) SELECT id, label FROM l WHERE label IS NOT NULL"""
+)
+def evaluation_items(spark, sf_dir):
+    from ..sources.records import labelled_items
+
+    return labelled_items(_vulns(spark, sf_dir))
+
+
+@query(
+    "SELECT item_id, substr(array_to_string(list_filter(string_split(diff, chr(10)), lambda s: starts_with(s, 'diff ') OR starts_with(s, '@@') OR starts_with(s, '+') OR starts_with(s, '-')), chr(10)), 1, 6000) AS summary FROM eval_items"
+)
+def diff_summary(spark, sf_dir):
+    from ..sources.records import diff_summary as summary
+
+    return table(spark, sf_dir, "eval_items").select("item_id", summary(F.col("diff")).alias("summary"))
+
+
+@query("SELECT source, count(*) AS n, count(DISTINCT contest) AS contests, round(100.0::DOUBLE * count(*) FILTER (source_url IS NOT NULL AND source_url <> '') / count(*), 2) AS with_url FROM crawl_findings GROUP BY source")
+def crawl_profile(spark, sf_dir):
+    url = F.coalesce("source_url", F.lit("")) != ""
+    return table(spark, sf_dir, "crawl_findings").groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("contest").alias("contests"), F.round(100.0 * F.count_if(url) / F.count(F.lit(1)), 2).alias("with_url")
+    )
+
+
+@query("SELECT split_part(trim(issue_id), '#', 1) AS namespace, count(*) AS n FROM ethereum_vulns WHERE contains(issue_id, '#') GROUP BY 1")
+def issue_namespaces(spark, sf_dir):
+    rows = _vulns(spark, sf_dir).where(F.col("issue_id").contains("#"))
+    return rows.groupBy(F.substring_index(F.trim("issue_id"), "#", 1).alias("namespace")).agg(F.count(F.lit(1)).alias("n"))
