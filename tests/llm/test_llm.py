@@ -109,6 +109,7 @@ def test_survivors(spark):
     assert survivors.survivors(rows.limit(0)).count() == 0
 
 
+
 def test_a_large_group_is_aligned_in_parts(spark):
     rows = vulns(spark, [{"id": f"i{k:04d}", "source_platform": "x", "fix_commit": FULL, "authority_tier": "C", "scraped_at": f"2024-01-01T00:{k // 60:02d}:{k % 60:02d}Z"} for k in range(300)])
     got = {r["field_name"]: r["from_id"] for r in survivors.survivors(rows).collect()}
@@ -132,6 +133,7 @@ def test_residue_rules_and_scores(spark):
     assert len(residue.judge(np.zeros(residue.WIDTH + 1), ["x " * 200_000, None, ""], False)) == 3
 
 
+
 def test_truncation(spark):
     sentences = ["When a slow peer sends a stale frame the queue stops being updated.", "The new version sorts each range before any write.", "It affects most relays upgraded in place."]
     rng = random.Random(2)
@@ -195,6 +197,18 @@ def test_leaks_against_what_was_planted(spark):
     assert leaks.leaks(d.limit(0), i).count() == 0 and leaks.leaks(d, i.limit(0)).count() == 0
 
 
+def test_a_passage_around_a_phrase_of_several_items_is_found(spark):
+    rng = random.Random(5)
+    phrase, notice = prose(rng, 10), prose(rng, 40)
+    items = [(k, f"{prose(rng, 30)} {phrase} {prose(rng, 30)} {notice}", None) for k in range(6)]
+    docs = [(k, f"{prose(rng, 60)} {' '.join(items[k][1].split()[20:50])} {prose(rng, 60)}") for k in range(6)]
+    docs += [(9, f"{prose(rng, 60)} {notice} {prose(rng, 60)}")]
+    got = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, description string, diff string"))
+    assert {(r["item_id"], r["doc_id"]) for r in got.collect()} == {(k, k) for k in range(6)}
+
+
+
+
 def test_pfair_stays_within_one_block():
     weights = {"a": 0.5, "b": 0.3, "c": 0.2, "none": 0.0}
     slots = mixing.pfair(weights, 1000)
