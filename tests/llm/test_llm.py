@@ -207,6 +207,20 @@ def test_a_passage_around_a_phrase_of_several_items_is_found(spark):
     assert {(r["item_id"], r["doc_id"]) for r in got.collect()} == {(k, k) for k in range(6)}
 
 
+def test_short_lines_and_edited_passages_of_least_length_are_found(spark):
+    rng = random.Random(6)
+    items = [(k, prose(rng, 90), "\n".join("+ " + prose(rng, 2) for _ in range(14))) for k in range(12)]
+    docs, want = [], set()
+    for k in range(120):
+        words = items[k % 12][1].split()[k // 2 : k // 2 + 25]
+        words[8], words[16] = "changed", "too"
+        docs.append((k, f"{prose(rng, 60)} {' '.join(words)} {prose(rng, 40 + k)}"))
+        lines = items[k % 12][2].split("\n")[k % 8 : k % 8 + 6]
+        docs.append((k + 1000, prose(rng, 30 + k) + "\n" + "\n".join(lines) + "\n" + prose(rng, 30)))
+        want |= {(k % 12, k), (k % 12, k + 1000)}
+    got = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, description string, diff string"))
+    assert {(r["item_id"], r["doc_id"]) for r in got.collect()} == want
+
 
 
 def test_pfair_stays_within_one_block():
