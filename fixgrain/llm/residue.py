@@ -240,12 +240,15 @@ def judge(weights: np.ndarray, values: list[str | None], is_title: bool) -> np.n
             out[k] = 0.0
     p = scores(weights, parts, [is_title] * len(parts), alone)
     for j in np.flatnonzero(p >= LOW):
-        part = parts[j]
-        sure = rule(part) or (p[j] >= HIGH and not MENTION.search(part))
-        out[owner[j]] = max(out[owner[j]], max(p[j], 0.5) if sure else min(p[j], 0.49))
+        out[owner[j]] = max(out[owner[j]], max(p[j], 0.5) if sure(p[j], parts[j]) else min(p[j], 0.49))
     return out
 
 
+def sure(p: float, part: str) -> bool:
+    """Whether a segment of score p is a case."""
+    return bool(p >= LOW and (rule(part) or (p >= HIGH and not MENTION.search(part))))
+
+
 _SCHEMA = "id string, field_name string, score double"
 
 
@@ -287,15 +290,36 @@ def p4_curated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement with the weak labels on hosts seen in training and on hosts held out."""
-    rows = training_sample(table(spark, sf_dir, "ethereum_vulns"))
-    weights = fit(*_examples([r for r in rows if not r["unseen"]]))
+    return validation(table(spark, sf_dir, "ethereum_vulns"))
+
+
+def validation(records: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(hosts, n_segments, n_residue, precision, recall) of the operator over all segments of all records.
+
+    Only the fitting uses the sample. Hosts without segments have a row of zeros.
+    """
+    spark = records.sparkSession
+    shared = spark.sparkContext.broadcast(train(records, sample=sample).astype(np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        counts = np.zeros((2, 4), np.int64)
+        for batch in batches:
+            rows = batch.to_pylist()
+            for unseen in (False, True):
+                parts, title, alone, labels = _examples([r for r in rows if r["unseen"] == unseen])
+                truth = labels > 0
+                said = np.array([sure(*x) for x in zip(scores(w, parts, title, alone), parts)], bool)
+                counts[int(unseen)] += [len(parts), truth.sum(), said.sum(), (truth & said).sum()]
+        yield pa.RecordBatch.from_arrays([pa.array([False, True]), *map(pa.array, counts.T.copy())], names=["unseen", "n", "residue", "said", "hit"])
+
+    every = records.select("title", "description", held_out(F.col("source_platform")).alias("unseen"))
+    counted = every.mapInArrow(run, "unseen boolean, n long, residue long, said long, hit long").groupBy("unseen").agg(*(F.sum(c).alias(c) for c in ("n", "residue", "said", "hit")))
+    by = {r["unseen"]: r for r in counted.collect()}
     out = []
     for hosts, unseen in (("seen", False), ("unseen", True)):
-        parts, title, alone, labels = _examples([r for r in rows if r["unseen"] == unseen])
-        truth = labels > 0
-        said = scores(weights, parts, title, alone) >= 0.5
-        hit = int((truth & said).sum())
-        out.append((hosts, len(parts), int(truth.sum()), hit / max(1, int(said.sum())), hit / max(1, int(truth.sum()))))
+        n, residue, said, hit = by[unseen][1:] if unseen in by else (0, 0, 0, 0)
+        out.append((hosts, n, residue, hit / max(1, said), hit / max(1, residue)))
     return spark.createDataFrame(out, "hosts string, n_segments long, n_residue long, precision double, recall double")
 
 

@@ -133,6 +133,13 @@ def test_residue_rules_and_scores(spark):
     assert len(residue.judge(np.zeros(residue.WIDTH + 1), ["x " * 200_000, None, ""], False)) == 3
 
 
+def test_validation_counts_all_records(spark):
+    rows = vulns(spark, [{"id": f"v{k}", "source_platform": f"p{k % 30}", "title": "fix a panic", "description": "404 Not Found" if k % 9 == 0 else f"The sync of node {k} stops."} for k in range(600)])
+    got = {r["hosts"]: r for r in residue.validation(rows, sample=20).collect()}
+    assert got["seen"]["n_segments"] + got["unseen"]["n_segments"] == 1200 and got["seen"]["n_residue"] + got["unseen"]["n_residue"] == 67
+    assert all(r["n_segments"] and 0 <= r["precision"] <= 1 and 0 <= r["recall"] <= 1 for r in got.values())
+    assert [r["n_segments"] for r in residue.validation(rows.limit(0)).collect()] == [0, 0]
+
 
 def test_truncation(spark):
     sentences = ["When a slow peer sends a stale frame the queue stops being updated.", "The new version sorts each range before any write.", "It affects most relays upgraded in place."]
