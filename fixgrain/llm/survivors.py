@@ -49,9 +49,7 @@ def field_values(records: DataFrame) -> dict[str, Column]:
         "severity": F.when(severity.isin("critical", "high", "medium", "low"), severity),
         "issue_id": F.when(issue.rlike(r"^(GHSA(-[0-9A-Z]{4}){3}|CVE-\d{4}-\d{4,}|RUSTSEC-\d{4}-\d{4,})$"), issue),
         "fix_commit": F.when(F.length(full) == 40, full),
-        "title": _clean(records["title"]),
-        "description": _clean(records["description"]),
-    }
+    } | {c: _clean(records[c].cast("string")) for c in records.columns if c not in ("id", *RANKED)}
 
 
 #: Fields for which the better member outvotes all worse ones together, as their definition asks;
@@ -207,15 +205,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a group: its size and the surviving values, title and description by weighted votes."""
-    fields = (*RANKED, "title", "description")
-    cells = survivors(table(spark, sf_dir, "ethereum_vulns"), fields)
-    return (
-        cells.groupBy("group_id", "n_members")
-        .pivot("field_name", list(fields))
-        .agg(F.first("value"))
-        .withColumnRenamed("record", "record_id")
-    )
+    """One row a group: its size and the surviving values."""
+    return whole_survivors(table(spark, sf_dir, "ethereum_vulns"))
+
+
+def whole_survivors(records: DataFrame) -> DataFrame:
+    """One row a group: its size and the surviving value of every column, those beside RANKED by weighted votes.
+
+    ``record_id`` is the best member's id; numbers vote by their text.
+    """
+    kinds = dict(records.dtypes)
+    fields = (*RANKED, *(c for c in records.columns if c not in ("id", *RANKED)))
+    cells = survivors(records, fields).groupBy("group_id", "n_members").pivot("field_name", list(fields)).agg(F.first("value"))
+    return cells.select("group_id", "n_members", F.col("record").alias("record_id"), *(F.col(c).cast(kinds[c]).alias(c) for c in fields[1:]))
 
 
 _RANK = """CASE lower(substr(trim(authority_tier), 1, 1)) WHEN 'a' THEN 0 WHEN 'b' THEN 1 WHEN 'c' THEN 2 ELSE 3 END,

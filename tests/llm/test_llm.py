@@ -109,6 +109,14 @@ def test_survivors(spark):
     assert survivors.survivors(rows.limit(0)).count() == 0
 
 
+def test_the_survivor_has_every_column(spark):
+    rows = vulns(spark, [{"id": k, "source_platform": "x", "fix_commit": FULL, "authority_tier": tier, "post_fix_code": code} for k, tier, code in (("a", "A", "nan"), ("b", "B", "[1]"), ("c", "C", None))])
+    rows = rows.withColumn("n_signals", F.when(F.col("id") == "c", 3).cast("int")).withColumn("security_score", F.when(F.col("id") == "b", 0.1))
+    (got,) = survivors.whole_survivors(rows).collect()
+    assert set(rows.columns) - {"id"} <= set(got.asDict()) and got["record_id"] == "a" and got["n_members"] == 3
+    assert (got["post_fix_code"], got["n_signals"], got["security_score"], got["source_platform"], got["title"]) == ("[1]", 3, 0.1, "x", None)
+    assert dict(survivors.whole_survivors(rows).dtypes)["n_signals"] == "int"
+
 
 def test_a_large_group_is_aligned_in_parts(spark):
     rows = vulns(spark, [{"id": f"i{k:04d}", "source_platform": "x", "fix_commit": FULL, "authority_tier": "C", "scraped_at": f"2024-01-01T00:{k // 60:02d}:{k % 60:02d}Z"} for k in range(300)])
