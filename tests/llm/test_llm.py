@@ -245,7 +245,7 @@ def test_a_quotation_does_not_hide_a_passage(spark):
         words = items[k][1].split()
         edited = words[20:45]
         edited[8], edited[17] = "changed", "too"
-        docs.append((k, f"{prose(rng, 60)} {' '.join(words[21:44])} {prose(rng, 60)} {' '.join(edited)} {prose(rng, 60)}"))
+        docs.append((k, f"{prose(rng, 60)} {' '.join(words[20:44])} {prose(rng, 60)} {' '.join(edited)} {prose(rng, 60)}"))
     got = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, description string, diff string"))
     assert {(r["item_id"], r["doc_id"]) for r in got.collect()} == {(k, k) for k in range(6)}
 
