@@ -1,8 +1,9 @@
 """Problem 8: per-document text statistics, and which texts are natural prose.
 
-Thresholds on the statistics are noisy labelling functions. Each fires or not; the counts of the
-patterns they make over all documents are all that expectation-maximisation needs to learn how
-often each fires for each text type, and the posterior type follows from the pattern.
+Two thresholds on each statistic make a noisy labelling function: it speaks for prose, against it, or
+is undecided. The counts of the patterns that the functions make over all documents are all that
+expectation-maximisation needs to learn from agreements how often each function says what of each
+text type; the posterior type follows from the pattern.
 """
 
 from __future__ import annotations
@@ -40,69 +41,89 @@ _SENTENCE = re.compile(r"[.!?…]\s+|\n")
 
 #: The statistics that every document gets.
 STATISTICS = ("word_count", "mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share")
-FIRES = ("few_common", "little_prose", "symbols", "word_length", "repeated_parts", "few_words", "disorder", "list_lines")
-#: Text type that each function speaks for.
-SPEAKS_FOR = ("noise", "list", "data", "data", "repeated", "repeated", "scrambled", "list")
 TYPES = ("prose", "list", "data", "noise", "repeated", "scrambled")
+#: The labelling functions, with the type that each speaks for when it speaks against prose, the value up to which
+#: it speaks for prose and the value beyond which it speaks against. All values are small for prose.
+FUNCTIONS = {
+    "few_common": ("noise", 0.76, 0.87),
+    "little_prose": ("list", 0.2, 0.5),
+    "symbols": ("data", 0.5, 1.0),
+    "word_length": ("data", 0.7, 1.0),
+    "repeated_parts": ("repeated", 0.1, 0.5),
+    "few_words": ("repeated", 0.7, 1.0),
+    "disorder": ("scrambled", 0.03, 0.07),
+    "list_lines": ("list", 0.15, 0.5),
+    "dense": ("data", 8.0, 12.0),
+    "broken_sentences": ("scrambled", 0.1, 0.3),
+}
+FOR, AGAINST = 0, 2
 
 
 def measure(text: str | None) -> tuple:
-    """The STATISTICS, and a bit mask of the FIRES. Null and blank texts count as no words."""
+    """The STATISTICS, and the pattern of the FUNCTIONS' votes in base 3. Null and blank texts count as no words."""
     text = text or ""
-    chars = len(text)
-    solid = chars - text.count(" ") - text.count("\n") - text.count("\t")
-    words = _WORD.findall(text.lower())
+    solid = len(text) - text.count(" ") - text.count("\n") - text.count("\t")
     tokens = text.split()
-    n = len(words)
     lines = [s for s in text.split("\n") if s.strip()]
-    letters = sum(map(len, words))
-    common = sum(w in COMMON for w in words)
-    enders = sum(s.rstrip().endswith((".", "!", "?", "…", ":", '"', "”")) for s in lines)
-    symbol_ratio = 1.0 - letters / solid if solid else 0.0
-    mean_length = sum(map(len, tokens)) / len(tokens) if tokens else 0.0
-    common_share = common / n if n else 0.0
-    stats = (n, mean_length, max(0.0, symbol_ratio), enders / len(lines) if lines else 0.0, common_share)
-    # Parts: how much text stands in lines that read as prose, and how much repeats other parts.
-    prose = listed = 0
+    # Lines: how much text stands in those that read as prose, and how much in those of lists; headings are neither.
+    words: list[str] = []
+    common = prose = listed = enders = 0
     fenced = False
     for line in lines:
         size = len(line)
-        if line.lstrip().startswith("```"):
+        own = _WORD.findall(line.lower())
+        known = sum(map(COMMON.__contains__, own))
+        words += own
+        common += known
+        enders += line.rstrip().endswith((".", "!", "?", "…", ":", '"', "”"))
+        start = line.lstrip()
+        if start.startswith("```"):
             fenced = not fenced
             listed += size
+        elif fenced:
+            listed += size
+        elif start.startswith("#"):
             continue
-        own = _WORD.findall(line.lower())
-        known = sum(w in COMMON for w in own)
-        tidy = len(own) and sum(map(len, own)) >= 0.72 * (size - line.count(" "))
-        if fenced or _MARKED.search(line) or (_LIST.search(line) and known < 0.2 * len(own)):
+        elif _MARKED.search(line) or (_LIST.search(line) and known < 0.2 * len(own)):
             listed += size
-        elif tidy and (known >= 0.12 * len(own) or len(own) < 5):
+        elif own and sum(map(len, own)) >= 0.72 * (size - line.count(" ")) and (known >= 0.12 * len(own) or len(own) < 5):
             prose += size
-    parts = [p.strip().lower() for p in _SENTENCE.split(text) if p.strip()]
-    again = sum(len(p) for p, k in Counter(parts).items() for _ in range(k - 1))
-    most = max(Counter(words).values(), default=0)
-    determiners = wrong = 0
+    n = len(words)
+    letters = sum(map(len, words))
+    symbol_ratio = max(0.0, 1.0 - letters / solid) if solid else 0.0
+    mean_length = sum(map(len, tokens)) / len(tokens) if tokens else 0.0
+    parts = Counter(p.strip().lower() for p in _SENTENCE.split(text))
+    again = sum(len(p) * (k - 1) for p, k in parts.items())
+    counted = Counter(words)
+    determiners = wrong = ends = low = 0
     for a, b in zip(words, words[1:]):
         if a in DETERMINERS:
             determiners += 1
             wrong += b in NOT_AFTER
+    for a, b in zip(tokens, tokens[1:]):
+        if a[-1] in ".!?":
+            ends += 1
+            low += b[0].islower()
     whole = sum(map(len, lines)) or 1
-    fires = (
-        n >= 8 and common_share < 0.12 or n < 8 and chars > 60,
-        prose < 0.5 * whole,
-        symbol_ratio > 0.3 or len(_ODD.findall(text)) > 0.04 * solid,
-        mean_length > 10.5 or (0 < mean_length < 2.6),
-        again > 0.5 * whole,
-        n >= 25 and (most > 0.3 * n or len(set(words)) < 0.12 * n),
-        determiners >= 4 and wrong > 0.08 * determiners,
-        listed > 0.5 * whole,
+    # Constants beside the counts draw the shares of very short texts to an ordinary value, whatever the length.
+    values = (
+        1.0 - (common + 2) / (n + 8),
+        1.0 - prose / whole,
+        max(symbol_ratio / 0.3, len(_ODD.findall(text)) / 0.04 / (solid + 1)),
+        max(mean_length / 10.5, 2.6 / mean_length) if mean_length else 0.0,
+        again / whole,
+        max((max(counted.values(), default=0) - 1) / (n + 10) / 0.25, 0.2 * (n + 10) / (len(counted) + 2) - 0.35),
+        wrong / (determiners + 4),
+        listed / whole,
+        solid / (n + 6),
+        low / (ends + 2),
     )
-    return (*stats, sum(1 << k for k, fired in enumerate(fires) if fired))
+    pattern = 0
+    for value, (_, good, bad) in zip(values, FUNCTIONS.values()):
+        pattern = pattern * 3 + (FOR if value <= good else AGAINST if value > bad else 1)
+    return (n, mean_length, symbol_ratio, enders / len(lines) if lines else 0.0, common / n if n else 0.0, pattern)
 
 
-#: Largest rate at which a function may fire on prose.
-RARE = 5e-4
-
 _SCHEMA = "doc_id long, word_count long, mean_word_length double, symbol_ratio double, punct_line_share double, common_word_share double, pattern int"
 
 
@@ -119,51 +140,79 @@ def measured(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, _SCHEMA)
 
 
-def learn(counts: dict[int, int], rounds: int = 40) -> dict[int, np.ndarray]:
-    """Posterior over TYPES of each pattern, by expectation-maximisation over pattern counts."""
+def votes(patterns: np.ndarray) -> np.ndarray:
+    """A row of votes, in the order of FUNCTIONS, for each pattern."""
+    return patterns[:, None] // 3 ** np.arange(len(FUNCTIONS))[::-1] % 3
+
+
+#: Weight of the prior on the vote rates, as a share of all documents, so that it means the same at every size.
+PRIOR_WEIGHT = 0.005
+
+
+def prior_rates() -> np.ndarray:
+    """Expected rates (type, function, vote): on prose functions seldom speak against, on their own type they mostly do."""
+    out = np.tile([0.5, 0.25, 0.25], (len(TYPES), len(FUNCTIONS), 1))
+    out[0] = (0.8, 0.15, 0.05)
+    for k, (kind, _, _) in enumerate(FUNCTIONS.values()):
+        out[TYPES.index(kind), k] = (0.1, 0.2, 0.7)
+    return out
+
+
+def learn(counts: dict[int, int], rounds: int = 300) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """Posterior over TYPES of each pattern, and the learned rates, by expectation-maximisation over pattern counts.
+
+    The prior of the types and all rates, those on prose too, are learned under a Dirichlet prior
+    of PRIOR_WEIGHT; nothing is clipped, so a function that errs on prose is believed less.
+    """
+    base = prior_rates()
     if not counts:
-        return {}
+        return {}, base
     patterns = np.array(sorted(counts))
     weight = np.array([counts[p] for p in patterns], float)
-    bits = (patterns[:, None] >> np.arange(len(FIRES))) & 1
-    rate = np.full((len(TYPES), len(FIRES)), 0.1)
-    rate[0] = RARE
-    for k, name in enumerate(SPEAKS_FOR):
-        rate[TYPES.index(name), k] = 0.8
-    prior = np.array([0.8] + [0.2 / (len(TYPES) - 1)] * (len(TYPES) - 1))
-    post = np.empty((len(patterns), len(TYPES)))
+    said = np.eye(3)[votes(patterns)]
+    rate, share = base, np.array([0.8] + [0.2 / (len(TYPES) - 1)] * (len(TYPES) - 1))
+    extra = PRIOR_WEIGHT * weight.sum()
     for _ in range(rounds):
-        log = bits @ np.log(rate.T) + (1 - bits) @ np.log(1 - rate.T) + np.log(prior)
+        log = np.einsum("pko,tko->pt", said, np.log(rate)) + np.log(share)
         post = np.exp(log - log.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
         held = post * weight[:, None]
         mass = held.sum(0)
-        prior = (mass + 1) / (mass.sum() + len(TYPES))
-        # Two pseudo-documents a rate. Every function is written to be silent on prose.
-        rate = (held.T @ bits + 0.2) / (mass[:, None] + 2)
-        rate = np.clip(rate, 1e-4, 1 - 1e-4)
-        rate[0] = np.minimum(rate[0], RARE)
-    return dict(zip(patterns.tolist(), post))
+        share = (mass + 1) / (mass.sum() + len(TYPES))
+        before, rate = rate, (np.einsum("pt,pko->tko", held, said) + extra * base) / (mass[:, None, None] + extra)
+        if np.abs(rate - before).max() < 1e-7:
+            break
+    return dict(zip(patterns.tolist(), post)), rate
+
+
+def _counted(documents: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """The measured rows, and how many have each pattern. There are at most 3 ** len(FUNCTIONS) patterns."""
+    rows = Scratch(documents.sparkSession, "quality").cut(measured(documents), "measured")
+    return rows, {r["pattern"]: r["n"] for r in rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def text_types(documents: DataFrame) -> DataFrame:
     """(doc_id, STATISTICS, text_type, prose_probability, is_prose) for every row.
 
-    Statistics cover whole texts. Null and blank texts have no words and pass as prose: nothing
-    in them is a list or junk. Repeated rows get their rows again; no documents give no rows.
+    Statistics cover whole texts. Null and blank texts have no words and are like the shortest
+    prose: nothing in them is a list or junk. Repeated rows get their rows again; no documents give
+    no rows.
     """
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "quality")
-    rows = scratch.cut(measured(documents), "measured")
-    # A pattern is a bit mask: there are at most 2 ** len(FIRES) of them.
-    counts = {r["pattern"]: r["n"] for r in rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
-    found = [(p, TYPES[int(post.argmax())], float(post[0])) for p, post in learn(counts).items()]
-    kinds = spark.createDataFrame(found, "pattern int, text_type string, prose_probability double")
+    rows, counts = _counted(documents)
+    found = [(p, TYPES[int(post.argmax())], float(post[0])) for p, post in learn(counts)[0].items()]
+    kinds = documents.sparkSession.createDataFrame(found, "pattern int, text_type string, prose_probability double")
     return rows.join(F.broadcast(kinds), "pattern").select(
         "doc_id", *STATISTICS, "text_type", "prose_probability", (F.col("prose_probability") >= 0.5).alias("is_prose")
     )
 
 
+def accuracies(documents: DataFrame) -> DataFrame:
+    """(function, text_type, says_prose, undecided, says_other): the learned rate of each vote of each function on each type."""
+    rate = learn(_counted(documents)[1])[1]
+    out = [(name, kind, *map(float, rate[t, k])) for k, name in enumerate(FUNCTIONS) for t, kind in enumerate(TYPES)]
+    return documents.sparkSession.createDataFrame(out, "function string, text_type string, says_prose double, undecided double, says_other double")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_types(table(spark, sf_dir, "documents")).where("not is_prose").select("doc_id")
 
@@ -172,5 +221,9 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_types(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_statistics": p8_statistics}
+def p8_accuracies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accuracies(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_statistics": p8_statistics, "p8_accuracies": p8_accuracies}
 SQL: dict[str, str] = {}

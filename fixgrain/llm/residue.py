@@ -1,9 +1,10 @@
 """Problem 4: template residue, filler and error-page text instead of content.
 
 A regularised linear classifier over hashed n-grams, length and title features scores every
-sentence or line of a value. It is trained here, on weak labels from response-status and phrase
-rules over a bounded sample (``SAMPLE`` records in all, taken in hash order), with the records of
-some hosts held out. An exact check of the same rules follows for scores that are not decisive.
+sentence or line of a value, and its score alone decides. It is trained here, on weak labels from
+response-status and phrase rules over a bounded sample (``SAMPLE`` records in all, taken in hash
+order). The records of some hosts are held out: the threshold is the one that agrees best there.
+The rules take part in the labelling only, never in the scoring.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +25,15 @@ from pyspark.sql import functions as F
 from ..runtime import table
 
 #: Records in the training sample; half of them are taken among those with a suspicious phrase.
-SAMPLE = 6000
+SAMPLE = 8000
 #: Records searched for the sample, as a multiple of it.
 POOL = 6
 #: Hashed features: weights are an array of this fixed size.
-WIDTH = 1 << 17
-#: Scores from which a segment is a candidate, and from which no rule has to confirm it.
-LOW, HIGH = 0.005, 0.97
+WIDTH = 1 << 19
 #: Hosts (source platforms here) in this fraction of the hash range are held out of training.
 HELD_OUT = 0.2
+#: Share of a value's segments with a page phrase from which the whole value is labelled as a page.
+PAGE_SHARE = 1 / 3
 
 _FIELD = "[A-Za-z][A-Za-z_]*"
 PLACEHOLDER = re.compile(
@@ -39,16 +42,12 @@ PLACEHOLDER = re.compile(
     r"%[sd]\b|\[x\.y\.z\]|<(?:type|scope|subject)>|[<\[](?:describe|insert|short|your|add|enter)\b[^>\]\n]{0,60}[>\]]|\[[^\]\n]{0,30}\bgoes here\]"
 )
 FILLER = re.compile(
-    r"\blorem\b|\bipsum\b|\basdf\b|^(.)\1{5,}\W*$|^(\w+(?: \w+)?)(?: \2)+\W*$|\bdummy dummy\b|\bTBD\b|^todo\b(?!.*\blist of\b)|\bTODO TODO\b|\bgoes here\b|"
-    r"^(?:sample text(?: here)?|some description|insert text|short summary of the change|new pull request|bug report template|untitled advisory|"
-    r"\(no title\)|enter a (?:description|title)\b.*|placeholder text|to be (?:written|done|filled in|announced))\W*$",
-    re.I,
-)
-FORM = re.compile(
-    r"^<!--.*-->$|^\*?replace this (?:line|text)\b|^\(please fill in\)$|^_what kind of\b|^who is affected\?_$|^_has the problem been\b|"
-    r"^what version should users\b|^closes #\W*$|^\(empty form\)$",
+    r"\blorem\b|\bipsum\b|\basdf\b|^(.)\1{5,}\W*$|^(\w+(?: \w+)?)(?: \2)+\W*$|^(\w+) \3 \w+\W*$|\bTBD\b|^todo\b|\bgoes here\b|"
+    r"^(?:sample text|some description|insert text|placeholder text|untitled\b|\(no title\)|enter an? (?:description|title)\b|"
+    r"to be (?:written|done|filled in|announced))|^(?:new pull request|bug report template|short summary of the change)\W*$",
     re.I,
 )
+FORM = re.compile(r"^<!--.*-->$|\breplace this (?:line|text)\b|^\(please fill in\)|^\(empty form\)$|^closes #\W*$|^_[^_]+[?_]_$|^_[^_]+\?_?$", re.I)
 RENDERER = re.compile(
     r"^(?:undefined|null|none|nil|NaN|\[object \w+\])(?::? *(?:undefined|null))?\W*$|^<function \w+ at 0x|^template error\b|^render(?:er|ing)? error\b|"
     r"^(?:redirecting|loading|please wait|just a moment)\W*$",
@@ -63,29 +62,23 @@ STATUS = re.compile(
     re.I,
 )
 PAGE = re.compile(
-    r"\b(?:enable|turn on|needs|requires) (?:java)?script\b|\bjavascript is disabled\b|\bscripts seem to be blocked\b|\bdoes not run our scripts\b|"
-    r"\bscripts? (?:are|is) (?:needed|required)\b|<noscript>|<!doctype|<html\b|"
-    r"\b(?:page you are looking for|could not find that page|could not be displayed|took too long to answer|down for maintenance|no longer here)\b|"
-    r"\bsomething went wrong on our side\b|\bunexpected error occurred while\b|\bbelongs to no branch we can show\b|\bserver could not handle the request\b|"
+    r"\b(?:enable|turn on|needs|requires) (?:java)?script\b|\bjavascript is disabled\b|\bscripts? (?:are|is|seem to be) (?:needed|required|blocked|disabled)\b|\b(?:run|load) our scripts\b|"
+    r"<noscript>|<!doctype|<html\b|"
+    r"\b(?:page you are looking for|(?:could not|cannot|can't) find (?:that|the|this) page|(?:could|can) not be displayed|took too long to (?:answer|respond)|down for maintenance|no longer (?:here|available))\b|"
+    r"\bsomething went wrong\b|\bunexpected error occurred\b|\b(?:no|any) branch we can show\b|\bserver could not handle the request\b|"
     r"\b(?:verify that you are human|are you a robot|complete the puzzle|unusual traffic|checking your browser)\b|"
-    r"\b(?:access (?:to this resource was )?denied|attention required|do not have permission to see|session has expired|log in again)\b|"
-    r"\bsign in to (?:the forge|view|continue|see)\b|\bwe use cookies\b|\baccept all to go on\b|^(?:try again later|skip to content|use the search instead|"
-    r"go back to the home page|please wait a few minutes|if this persists, contact support)\W*$|^(?:request id|ray) [0-9a-f]{4,}\W*$",
+    r"\b(?:access (?:to this resource was )?denied|attention required|do not have permission|session has expired|log in again)\b|"
+    r"\bsign in to (?:the|view|continue|see)\b|\bwe use cookies\b|^(?:try again later|skip to content)\W*$|^(?:request id|ray) [0-9a-f]{4,}\W*$",
     re.I,
 )
-#: Wording by which a text speaks about such a thing instead of being it.
-MENTION = re.compile(
-    r"\b(?:escapes?|unescaped|expanded|alike|fixtures?|template (?:renderer|loader)|status page|warned about|asked for javascript|served instead|"
-    r"hid the bug|unknown slots|known slot|todo list of|instead of [45]\d\d|used to answer|clients saw|format string)\b",
+#: Words of saying and handling: with them a text more likely speaks about such a thing than is one.
+ABOUT = re.compile(
+    r"\b(?:used?|uses|using|says?|said|saw|sees|shows?|showed|sends?|sent|returns?|returned|answers?|answered|served|fill(?:s|ed)|replaces?|escapes?|expands?|expanded|unescaped|"
+    r"handles?|logs?|logged|prints?|printed|parses?|parsed|variable|string|fixtures?|instead of|whenever|with an?)\b",
     re.I,
 )
-_ANY = (PLACEHOLDER, FILLER, FORM, RENDERER, STATUS, PAGE)
-#: A coarse form of the rules for the JVM, used only to choose half of the training sample.
-SUSPICIOUS = (
-    r"(?i)javascript|scripts? |<html|doctype|\{\{|<%|\[\[|%\(|\$\{|@@|__[A-Z]|%[A-Z_]+%|\$[A-Z_]+\$|«|\[[A-Z_]{3,}\]|<[A-Za-z_]+>|<(?:describe|insert)|%[sd]\b|"
-    r"lorem|ipsum|asdf|\btbd\b|\btodo\b|goes here|undefined|\[object|<!--|please |closes #\s|^\s*[45]\d\d\b|\b(?:http|error|status) [45]\d\d|[\"']status|"
-    r"template error|render error|browser|denied|sign in|cookies|human|robot|no branch|no longer here|could not|sorry|oops|unexpected error|\b(?:your|you) "
-)
+_PAGES = (STATUS, PAGE, RENDERER)
+_SAYABLE = (PLACEHOLDER, FILLER, STATUS, PAGE)
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _UNANSWERED = re.compile(r"#+ .*$|\*\*[^*]+\*\*$|- \[ \]")
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -126,9 +119,16 @@ def segments(value: str) -> list[str]:
     return out
 
 
-def rule(segment: str) -> bool:
-    """Whether a phrase or response-status rule takes the segment for residue."""
-    return any(p.search(segment) for p in _ANY) and not MENTION.search(segment)
+def weak_label(segment: str) -> bool:
+    """What the phrase and response-status rules take the segment for. For training and validation only."""
+    return any(p.search(segment) for p in (FORM, RENDERER)) or any(p.search(segment) for p in _SAYABLE) and not ABOUT.search(segment)
+
+
+def weak_labels(parts: list[str]) -> list[bool]:
+    """Labels of a value's segments; where page phrases make up PAGE_SHARE of them, the whole value is a page."""
+    out = list(map(weak_label, parts))
+    pages = sum(1 for hit, part in zip(out, parts) if hit and any(p.search(part) for p in _PAGES))
+    return [True] * len(parts) if pages and pages >= PAGE_SHARE * len(parts) else out
 
 
 def missing(value: str | None) -> bool:
@@ -172,7 +172,7 @@ def scores(weights: np.ndarray, parts: list[str], title: list[bool], alone: list
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(parts: list[str], title: list[bool], alone: list[bool], labels: np.ndarray, rounds: int = 120, penalty: float = 2e-5) -> np.ndarray:
+def fit(parts: list[str], title: list[bool], alone: list[bool], labels: np.ndarray, rounds: int = 150, penalty: float = 5e-6) -> np.ndarray:
     """Weights of a logistic model with an L2 penalty, by full-batch steps of adapted size."""
     weights = np.zeros(WIDTH + 1)
     if not parts:
@@ -190,6 +190,13 @@ def fit(parts: list[str], title: list[bool], alone: list[bool], labels: np.ndarr
     return weights
 
 
+class Model(NamedTuple):
+    """Weights of the features, the bias last, and the score from which a segment is a case."""
+
+    weights: np.ndarray
+    threshold: float
+
+
 def _examples(rows: list) -> tuple[list[str], list[bool], list[bool], np.ndarray]:
     """Segments of the rows, their flags and their weak labels."""
     parts, title, alone, labels = [], [], [], []
@@ -200,14 +207,29 @@ def _examples(rows: list) -> tuple[list[str], list[bool], list[bool], np.ndarray
                 parts += own
                 title += [name == "title"] * len(own)
                 alone += [len(own) == 1] * len(own)
-                labels += map(rule, own)
+                labels += weak_labels(own)
     return parts, title, alone, np.array(labels, float)
 
 
+def best_threshold(p: np.ndarray, labels: np.ndarray) -> float:
+    """The score that agrees best with the labels (largest F1, then nearest to one half); one half without cases."""
+    if not labels.any():
+        return 0.5
+    steps = np.arange(0.3, 0.81, 0.05)
+    agree = [2 * ((p >= t) & (labels > 0)).sum() / ((p >= t).sum() + labels.sum()) for t in steps]
+    return float(max(zip(agree, -np.abs(steps - 0.5), steps))[2])
+
+
 def held_out(host: Column) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(host, F.lit(""))), 1000) < int(1000 * HELD_OUT)
 
 
+def suspicious(text: Column) -> Column:
+    """Whether a phrase of the weak labels stands in a text, to choose half of the training sample."""
+    rules = [F.regexp_like(text, F.lit("(?mUi)" + p.pattern)) for p in (*_SAYABLE, FORM, RENDERER)]
+    return reduce(lambda x, y: x | y, rules)
+
+
 def training_sample(records: DataFrame, host: str = "source_platform", sample: int = SAMPLE) -> list:
     """At most ``sample`` rows (title, description, unseen, odd), half of them with a suspicious phrase.
 
@@ -216,19 +238,21 @@ def training_sample(records: DataFrame, host: str = "source_platform", sample: i
     order = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(11)), F.lit(1_000_000))
     part = min(1_000_000, math.ceil(1_000_000 * POOL * sample / max(1, records.count())))
     text = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
-    pool = records.where(order < part).select("title", "description", held_out(F.col(host)).alias("unseen"), text.rlike(SUSPICIOUS).alias("odd"))
+    pool = records.where(order < part).select("title", "description", held_out(F.col(host)).alias("unseen"), suspicious(text).alias("odd"))
     rank = F.row_number().over(Window.partitionBy("odd").orderBy(F.xxhash64("title", "description"), "title", "description"))
     return pool.withColumn("rank", rank).where(F.col("rank") <= sample // 2).drop("rank").collect()
 
 
-def train(records: DataFrame, host: str = "source_platform", sample: int = SAMPLE) -> np.ndarray:
-    """Weights fitted on the sample's seen hosts. Without any labelled row all weights are zero."""
-    rows = [r for r in training_sample(records, host, sample) if not r["unseen"]]
-    return fit(*_examples(rows))
+def train(records: DataFrame, host: str = "source_platform", sample: int = SAMPLE) -> Model:
+    """Weights fitted on the sample's seen hosts, the threshold on its unseen ones. Without labels all weights are zero."""
+    rows = training_sample(records, host, sample)
+    weights = fit(*_examples([r for r in rows if not r["unseen"]]))
+    parts, title, alone, labels = _examples([r for r in rows if r["unseen"]])
+    return Model(weights.astype(np.float32), best_threshold(scores(weights, parts, title, alone), labels))
 
 
-def judge(weights: np.ndarray, values: list[str | None], is_title: bool) -> np.ndarray:
-    """Residue score of each value; -1 for missing values, at least 0.5 for cases."""
+def judge(model: Model, values: list[str | None], is_title: bool) -> np.ndarray:
+    """Residue score of each value, that of its worst segment; -1 for missing values."""
     owner, parts, alone = [], [], []
     out = np.full(len(values), -1.0)
     for k, value in enumerate(values):
@@ -238,37 +262,28 @@ def judge(weights: np.ndarray, values: list[str | None], is_title: bool) -> np.n
             owner += [k] * len(own)
             alone += [len(own) == 1] * len(own)
             out[k] = 0.0
-    p = scores(weights, parts, [is_title] * len(parts), alone)
-    for j in np.flatnonzero(p >= LOW):
-        out[owner[j]] = max(out[owner[j]], max(p[j], 0.5) if sure(p[j], parts[j]) else min(p[j], 0.49))
+    np.maximum.at(out, np.array(owner, np.int64), scores(model.weights, parts, [is_title] * len(parts), alone))
     return out
 
 
-def sure(p: float, part: str) -> bool:
-    """Whether a segment of score p is a case."""
-    return bool(p >= LOW and (rule(part) or (p >= HIGH and not MENTION.search(part))))
-
-
 _SCHEMA = "id string, field_name string, score double"
 
 
-def residue_scores(records: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
-    """(id, field_name, score) of every title and description that is a case, score at least 0.5.
+def residue_scores(records: DataFrame, model: Model | None = None) -> DataFrame:
+    """(id, field_name, score) of every title and description that the model takes for a case.
 
     Values count whole, whatever their length. Null, blank and ``nan`` values, null ids and an
     empty table give no rows; a repeated record gives its rows again.
     """
-    if weights is None:
-        weights = train(records)
-    shared = records.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    shared = records.sparkSession.sparkContext.broadcast(train(records) if model is None else model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+        own = shared.value
         for batch in batches:
             ids = batch.column("id")
             for name in ("title", "description"):
-                got = judge(w, batch.column(name).to_pylist(), name == "title")
-                hit = np.flatnonzero(got >= 0.5)
+                got = judge(own, batch.column(name).to_pylist(), name == "title")
+                hit = np.flatnonzero(got >= own.threshold)
                 if len(hit):
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array(hit)), pa.array([name] * len(hit), pa.string()), pa.array(got[hit].astype(float))],
@@ -289,27 +304,27 @@ def p4_curated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement with the weak labels on hosts seen in training and on hosts held out."""
+    """Agreement of the model alone with the weak labels, on hosts seen in training and on hosts held out."""
     return validation(table(spark, sf_dir, "ethereum_vulns"))
 
 
 def validation(records: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(hosts, n_segments, n_residue, precision, recall) of the operator over all segments of all records.
+    """(hosts, n_segments, n_residue, precision, recall) of the model over all segments of all records.
 
     Only the fitting uses the sample. Hosts without segments have a row of zeros.
     """
     spark = records.sparkSession
-    shared = spark.sparkContext.broadcast(train(records, sample=sample).astype(np.float32))
+    shared = spark.sparkContext.broadcast(train(records, sample=sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+        model = shared.value
         counts = np.zeros((2, 4), np.int64)
         for batch in batches:
             rows = batch.to_pylist()
             for unseen in (False, True):
                 parts, title, alone, labels = _examples([r for r in rows if r["unseen"] == unseen])
                 truth = labels > 0
-                said = np.array([sure(*x) for x in zip(scores(w, parts, title, alone), parts)], bool)
+                said = scores(model.weights, parts, title, alone) >= model.threshold
                 counts[int(unseen)] += [len(parts), truth.sum(), said.sum(), (truth & said).sum()]
         yield pa.RecordBatch.from_arrays([pa.array([False, True]), *map(pa.array, counts.T.copy())], names=["unseen", "n", "residue", "said", "hit"])
 

@@ -1,24 +1,28 @@
-"""Problem 2: one surviving record for each group of duplicates, by token-level consensus."""
+"""Problem 2: one surviving record for each group of duplicates.
+
+Some fields are defined by rank: the best member that can give the field gives it, which one
+aggregate of minima finds. All other fields are chosen by token-level consensus. The values of a
+group are aligned progressively, starting from its best member's value, each one adding weighted
+votes for the tokens it has in the columns; the existing value closest to the winning tokens
+survives. Votes add up in any order, so the columns of a group are partial sums and no group is
+ever in one task.
+"""
 
 from __future__ import annotations
 
-import difflib
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 from ..runtime import Scratch, table
 from .commits import commit_hash, commit_keys
 
-#: Distinct values that one alignment takes at once; larger groups are aligned in parts of this
-#: size, and the parts' consensus values again, until one is left.
-PART = 48
-#: Tokens from which a text is aligned by lines instead of words.
-LONG = 3000
-
 TIER_WEIGHT = {0: 4.0, 1: 2.0, 2: 1.0, 3: 0.5}
 
 
@@ -52,129 +56,200 @@ def field_values(records: DataFrame) -> dict[str, Column]:
     } | {c: _clean(records[c].cast("string")) for c in records.columns if c not in ("id", *RANKED)}
 
 
-#: Fields for which the better member outvotes all worse ones together, as their definition asks;
-#: in the others each member votes with the weight of its tier.
+#: Fields defined by the members' rank; all others are chosen by consensus.
 RANKED = ("record", "severity", "issue_id", "fix_commit")
 
 
-def _tokens(text: str) -> list[str]:
-    words = text.split()
-    return words if len(words) <= LONG else text.split("\n")
-
-
-def align(values: list[tuple[str, float]]) -> str:
-    """The consensus of weighted texts, best first.
+def matching(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, size) of equal runs that a and b have in the same order, in order.
 
-    Each text in turn is aligned with the columns so far, and every token votes in its column
-    with its text's weight; a text that has nothing in a column votes for leaving it out. The
-    result has the winning token of each column, the earlier one on a tie.
+    Equal ends are taken off; between them the tokens that stand once in each text are anchors,
+    along their longest increasing sequence, and the gaps between anchors are treated alike; in a
+    gap without anchors tokens match at equal places.
+    The time is n log n, whatever the length.
     """
-    columns: list[dict[str | None, float]] = []
-    done = 0.0
-    for text, weight in values:
-        tokens = _tokens(text)
-        if not columns:
-            columns = [{token: weight} for token in tokens]
-            done = weight
+    out: list[tuple[int, int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, i_end, j, j_end = todo.pop()
+        n = 0
+        while i + n < i_end and j + n < j_end and a[i + n] == b[j + n]:
+            n += 1
+        if n:
+            out.append((i, j, n))
+            i, j = i + n, j + n
+        n = 0
+        while i_end - n > i and j_end - n > j and a[i_end - n - 1] == b[j_end - n - 1]:
+            n += 1
+        if n:
+            i_end, j_end = i_end - n, j_end - n
+            out.append((i_end, j_end, n))
+        if i == i_end or j == j_end:
             continue
-        tops = [max(c, key=c.__getitem__) or "" for c in columns]
-        merged: list[dict[str | None, float]] = []
-        i = j = 0
-        for block in difflib.SequenceMatcher(None, tops, tokens, autojunk=False).get_matching_blocks():
-            while i < block.a and j < block.b:
-                columns[i][tokens[j]] = columns[i].get(tokens[j], 0.0) + weight
-                merged.append(columns[i])
-                i, j = i + 1, j + 1
-            for column in columns[i : block.a]:
-                column[None] = column.get(None, 0.0) + weight
-                merged.append(column)
-            merged.extend({None: done, token: weight} for token in tokens[j : block.b])
-            for k in range(block.size):
-                column = columns[block.a + k]
-                token = tokens[block.b + k]
-                column[token] = column.get(token, 0.0) + weight
-                merged.append(column)
-            i, j = block.a + block.size, block.b + block.size
-        columns, done = merged, done + weight
-    return " ".join(t for c in columns if (t := max(c, key=c.__getitem__)) is not None)
+        once = Counter(b[j:j_end])
+        place = {t: k for k, t in enumerate(b[j:j_end], j) if once[t] == 1}
+        count = Counter(a[i:i_end])
+        pairs = [(k, place[t]) for k, t in enumerate(a[i:i_end], i) if t in place and count[t] == 1]
+        chain = _increasing(pairs)
+        for x, y in chain:
+            todo.append((i, x, j, y))
+            out.append((x, y, 1))
+            i, j = x + 1, y + 1
+        if chain:
+            todo.append((i, i_end, j, j_end))
+        else:
+            out += [(i + k, j + k, 1) for k in range(min(i_end - i, j_end - j)) if a[i + k] == b[j + k]]
+    return sorted(out)
+
+
+def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest chain of pairs (sorted by their first part) with increasing second parts."""
+    tails: list[int] = []
+    at: list[int] = []
+    before = [-1] * len(pairs)
+    for k, (_, y) in enumerate(pairs):
+        n = bisect_left(tails, y)
+        before[k] = at[n - 1] if n else -1
+        if n == len(tails):
+            tails.append(y)
+            at.append(k)
+        else:
+            tails[n], at[n] = y, k
+    chain = []
+    k = at[-1] if at else -1
+    while k >= 0:
+        chain.append(pairs[k])
+        k = before[k]
+    return chain[::-1]
+
+
+def changes(guide: list[str], tokens: list[str]) -> list[tuple[int, int, str | None]]:
+    """(column, slot, token): where a text differs from the guide it is aligned with.
+
+    Slot 0 is the guide's own column, with None where the text lacks it; slots from 1 on are tokens
+    that the text has before that column.
+    """
+    out: list[tuple[int, int, str | None]] = []
+    i = j = 0
+    for x, y, n in [*matching(guide, tokens), (len(guide), len(tokens), 0)]:
+        while i < x and j < y:
+            out.append((i, 0, tokens[j]))
+            i, j = i + 1, j + 1
+        out += [(k, 0, None) for k in range(i, x)]
+        out += [(x, k + 1, t) for k, t in enumerate(tokens[j:y])]
+        i, j = x + n, y + n
+    return out
+
+
+def apply_changes(guide: list[str], winners: list[tuple[int, int, str | None]]) -> str:
+    """The guide with its winning changes."""
+    columns: dict[int, list[tuple[int, str | None]]] = {}
+    for column, slot, token in winners:
+        columns.setdefault(column, []).append((slot, token))
+    out: list[str] = []
+    for k in range(len(guide) + 1):
+        own = dict(columns.get(k, ()))
+        out += [own[s] for s in sorted(own) if s and own[s] is not None]
+        token = own.get(0, guide[k]) if k < len(guide) and (0 not in own or own[0] is not None) else None
+        if token is not None:
+            out.append(token)
+    return " ".join(out)
 
 
 def distance(value: str, consensus: str) -> float:
     """Share of tokens that differ, 0 for equal texts and 1 for texts without a common token."""
-    a, b = _tokens(value), _tokens(consensus)
+    a, b = value.split(), consensus.split()
     if a == b:
         return 0.0
-    if not a or not b:
-        return 1.0
-    same = sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    same = sum(n for _, _, n in matching(a, b))
     return 1.0 - 2.0 * same / (len(a) + len(b))
 
 
-def _align_part(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values(["tier", "age", "id", "value"])
-    first = part.iloc[0]
-    if first["field_name"] in RANKED:
-        # Halving weights: the first member outvotes all that follow.
-        weighted = [(value, 0.5**k) for k, value in enumerate(part["value"])]
-    else:
-        weighted = list(zip(part["value"], part["weight"]))
-    return pd.DataFrame(
-        {
-            "group_key": [first["group_key"]],
-            "field_name": [first["field_name"]],
-            "value": [align(weighted)],
-            "weight": [float(part["weight"].sum())],
-            "tier": [first["tier"]],
-            "age": [first["age"]],
-            "id": [first["id"]],
-        }
-    )
-
-
 @F.pandas_udf(DoubleType())
 def _distances(values: pd.Series, consensus: pd.Series) -> pd.Series:
-    return pd.Series([distance(a, b) for a, b in zip(values, consensus)])
+    return pd.Series([distance(a, b) for a, b in zip(values, consensus)], dtype=float)
+
+
+@F.pandas_udf(StringType())
+def _applied(guides: pd.Series, winners: pd.Series) -> pd.Series:
+    return pd.Series([apply_changes(g.split(), [(w["column"], w["slot"], w["token"]) for w in ws]) for g, ws in zip(guides, winners)], dtype=object)
+
+
+def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["group_key", "field_name", "column", "slot", "token", "weight"]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
+    for batch in batches:
+        rows = []
+        for group, field, guide, value, weight in zip(*(batch.column(c).to_pylist() for c in ("group_key", "field_name", "guide", "value", "weight"))):
+            rows += [(group, field, *change, weight) for change in changes(guide.split(), value.split())]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 def consensus_fields(cells: DataFrame, scratch: Scratch) -> DataFrame:
     """(group_key, field_name, from_id, value) from cells (group_key, field_name, value, trust).
 
-    Equal values of a group are one vote of summed weight before anything is shuffled further, so
-    a group of copies costs one row. The cell chosen is the one closest to the consensus; on a tie
-    the one of the best member. Null values give nothing, so a field no member can give has no row.
+    Equal values of a group are one vote of summed weight before anything else, so copies cost one
+    row. The cell chosen is the one closest to the consensus; on a tie the one of the best member.
+    Null values give nothing, so a field no member can give has no row. Rows are spread over the
+    tasks by their value before they are aligned or compared, so a hot group is everywhere.
     """
+    on = ["group_key", "field_name"]
     weight = F.lit(TIER_WEIGHT[3])
     for tier in (2, 1, 0):
         weight = F.when(F.col("trust.tier") == tier, TIER_WEIGHT[tier]).otherwise(weight)
     distinct = scratch.cut(
-        cells.where("value is not null and group_key is not null")
-        .groupBy("group_key", "field_name", "value")
-        .agg(F.min("trust").alias("trust"), F.sum(weight).alias("weight"))
-        .select("group_key", "field_name", "value", "weight", "trust.*"),
-        "values",
+        cells.where("value is not null and group_key is not null").groupBy(*on, "value").agg(F.min("trust").alias("trust"), F.sum(weight).alias("weight")), "values"
     )
-    rest = distinct
-    while True:
-        sizes = rest.groupBy("group_key", "field_name").agg(F.count(F.lit(1)).alias("n"))
-        most = sizes.agg(F.max("n")).first()[0] or 0
-        single = sizes.where("n = 1").select("group_key", "field_name")
-        parts = F.ceil(F.col("n") / PART)
-        several = rest.join(sizes.where("n > 1"), ["group_key", "field_name"]).withColumn(
-            "part", F.pmod(F.xxhash64("value", "id"), parts).cast("int")
-        )
-        aligned = several.groupBy("group_key", "field_name", "part").applyInPandas(
-            lambda part: _align_part(part), "group_key string, field_name string, value string, weight double, tier int, age long, id string"
-        )
-        rest = aligned.unionByName(rest.join(single, ["group_key", "field_name"], "left_semi").select(aligned.columns))
-        if most <= PART:
-            break
-        rest = scratch.cut(rest, "parts")
-    chosen = rest.select("group_key", "field_name", F.col("value").alias("consensus"))
-    near = distinct.join(chosen, ["group_key", "field_name"]).withColumn(
-        "far", F.when(F.col("value") == F.col("consensus"), F.lit(0.0)).otherwise(_distances("value", "consensus"))
+    best = F.min(F.struct("trust", "value")).alias("best")
+    heads = scratch.cut(
+        distinct.groupBy(*on).agg(best, F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n")).select(*on, F.col("best.trust").alias("trust"), F.col("best.value").alias("guide"), "total", "n"),
+        "heads",
     )
-    best = F.min(F.struct("far", "tier", "age", "id", "value")).alias("best")
-    return near.groupBy("group_key", "field_name").agg(best).select("group_key", "field_name", F.col("best.id").alias("from_id"), F.col("best.value").alias("value"))
+    single = heads.where("n = 1").select(*on, F.col("trust.id").alias("from_id"), F.col("guide").alias("value"))
+    several = heads.where("n > 1")
+    spread = [*on, F.xxhash64("value")]
+    votes = (
+        distinct.join(several.select(*on, "guide"), on).where("value <> guide").select(*on, "guide", "value", "weight").repartition(*spread)
+        .mapInArrow(_vote, "group_key string, field_name string, column int, slot int, token string, weight double")
+        .groupBy(*on, "column", "slot", "token").agg(F.sum("weight").alias("weight"))
+    )
+    # The guide's token, or nothing in a slot beside it, has all votes that no other token of the column has.
+    columns = votes.groupBy(*on, "column", "slot").agg(F.max(F.struct("weight", "token")).alias("top"), F.sum("weight").alias("against"))
+    winners = (
+        columns.join(several.select(*on, "total"), on).where("top.weight > total - against")
+        .groupBy(*on).agg(F.collect_list(F.struct("column", "slot", F.col("top.token").alias("token"))).alias("winners"))
+    )
+    chosen = several.join(winners, on, "left").select(*on, F.when(F.col("winners").isNull(), F.col("guide")).otherwise(_applied("guide", F.coalesce("winners", F.expr("array()")))).alias("consensus"))
+    chosen = scratch.cut(chosen, "consensus")
+    far = F.when(F.col("value") == F.col("consensus"), F.lit(0.0)).otherwise(_distances("value", "consensus"))
+    near = distinct.join(chosen, on).repartition(*spread).select(*on, far.alias("far"), "trust", "value")
+    closest = near.groupBy(*on).agg(F.min(F.struct("far", "trust", "value")).alias("best"))
+    return single.unionByName(closest.select(*on, F.col("best.trust.id").alias("from_id"), F.col("best.value").alias("value")))
+
+
+def members(records: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(group_key, trust, and a value for each field) of every record that names a commit."""
+    values = field_values(records)
+    named = records.where("id is not null").select(
+        F.coalesce("source_platform", F.lit("")).alias("platform"),
+        commit_hash(records["fix_commit"]).alias("hash"),
+        trust(records).alias("trust"),
+        *(values[k].alias(f"value_{k}") for k in fields),
+    ).where("hash is not null")
+    rows = named.join(commit_keys(named), "hash")
+    return rows.select(F.concat_ws("\u0001", "platform", "commit").alias("group_key"), "trust", *(f"value_{k}" for k in fields))
+
+
+def ranked_fields(member: DataFrame, fields: tuple[str, ...] = RANKED) -> DataFrame:
+    """(group_key, group_id, n_members, field_name, from_id, value): each field from the best member that can give it.
+
+    One aggregate of minima with partial results: a hot group costs one row a task.
+    """
+    first = [F.min(F.when(F.col(f"value_{k}").isNotNull(), F.struct("trust", F.col(f"value_{k}").alias("value")))).alias(k) for k in fields]
+    groups = member.groupBy("group_key").agg(F.min("trust.id").alias("group_id"), F.count_distinct("trust.id").alias("n_members"), *first).where("n_members > 1")
+    rows = F.array(*(F.struct(F.lit(k).alias("field_name"), F.col(k)["trust"]["id"].alias("from_id"), F.col(k)["value"].alias("value")) for k in fields))
+    return groups.select("group_key", "group_id", "n_members", F.inline(rows)).where("from_id is not null")
 
 
 def survivors(records: DataFrame, fields: tuple[str, ...] = RANKED) -> DataFrame:
@@ -184,20 +259,19 @@ def survivors(records: DataFrame, fields: tuple[str, ...] = RANKED) -> DataFrame
     commit; ``group_id`` is its smallest id. Records that name no commit are in no group. Repeated
     rows of one id are one member.
     """
+    ranked = tuple(k for k in RANKED if k in fields)
+    voted = tuple(k for k in fields if k not in RANKED)
+    out = ["group_id", "n_members", "field_name", "from_id", "value"]
+    if not voted:
+        return ranked_fields(members(records, ranked), ranked).select(out)
     scratch = Scratch(records.sparkSession, "survivors")
-    named = records.where("id is not null").withColumn("hash", commit_hash(F.col("fix_commit"))).where("hash is not null")
-    keys = commit_keys(named)
-    member = scratch.cut(
-        named.join(keys, "hash").select(
-            F.concat_ws("\u0001", F.coalesce(named["source_platform"], F.lit("")), F.col("commit")).alias("group_key"),
-            trust(named).alias("trust"),
-            F.array(*(F.struct(F.lit(k).alias("field_name"), v.alias("value")) for k, v in field_values(named).items() if k in fields)).alias("cells"),
-        ),
-        "members",
-    )
+    member = scratch.cut(members(records, fields), "members")
     groups = member.groupBy("group_key").agg(F.min("trust.id").alias("group_id"), F.count_distinct("trust.id").alias("n_members")).where("n_members > 1")
-    cells = member.join(groups.select("group_key"), "group_key", "left_semi").select("group_key", "trust", F.inline("cells"))
-    return consensus_fields(cells, scratch).join(groups, "group_key").select("group_id", "n_members", "field_name", "from_id", "value")
+    groups = scratch.cut(groups, "groups")
+    pairs = F.array(*(F.struct(F.lit(k).alias("field_name"), F.col(f"value_{k}").alias("value")) for k in voted))
+    cells = member.join(groups.select("group_key"), "group_key", "left_semi").select("group_key", "trust", F.inline(pairs))
+    chosen = consensus_fields(cells, scratch).join(groups, "group_key").select(out)
+    return chosen.unionByName(ranked_fields(member, ranked).select(out)) if ranked else chosen
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +284,7 @@ def p2_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def whole_survivors(records: DataFrame) -> DataFrame:
-    """One row a group: its size and the surviving value of every column, those beside RANKED by weighted votes.
+    """One row a group: its size and the surviving value of every column, those beside RANKED by consensus.
 
     ``record_id`` is the best member's id; numbers vote by their text.
     """
