@@ -180,3 +180,45 @@ COMMON_AREAS = (
 )
 # ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# What makes an evaluation item.
+FIX_TITLE = (
+    r"\b(?:fix|fixes|fixed|prevent|guard|avoid|patch|resolve)\w*\b[^.\n]{0,45}\b(?:crash|panic|segfault|deadlock|hang|oom|out.of.memory|overflow"
+    r"|underflow|use.after.free|nil (?:pointer|deref)|null (?:pointer|deref)|data race|race condition|reorg|consensus|invalid block|dos"
+    r"|denial.of.service|memory leak|infinite loop|out.of.bounds)\b"
+)
+FEATURE_TITLE = r"\b(?:feat|feature|refactor|perf|rename|cleanup|clean up|implement|add support|introduce|improve|optimi[sz]e|simplify|migrate|style|move)\b"
+BUMP_TITLE = r"\bbump\b|chore\(deps|dependabot|renovate"
+UNCLEAN_TITLE = r"^\s*(?:vendor|revert|ci)\b|vendored|third.party|\btest(?:s|ing)?\b|\bsim\b|simulator|evmtool|\binspect\b|pprof|\bflak"
+ITEM_ID = r"CVE-\d{4}-\d{4,7}|GHSA-"
+CHANGE_URL = r"/pull/|/commit/"
+SUBSYSTEM = (
+    r"fork.?choice|state.?transition|epoch|consensus|finality|reorg|slashing|attestation|sync.?committee|blob|kzg|bls|discv5|gossip|p2p|rlpx|evm"
+    r"|opcode|precompile|trie|tx.?pool|mempool|signature|merkle|ssz|rlp|secp256"
+)
+# Captures.
+SECURITY_TITLE = r"\b(?:security|vuln(?:erability)?|CVE-\d{4}-\d+|DoS|panic|crash|RCE|memory\s+leak|integer\s+overflow|race\s+condition)\b"
+SPLIT_TEXT = r"client\s+divergence|consensus\s+divergence|consensus\s+split|implementation\s+divergence"
+INLINE_PULL = r"/pull/(\d+)|\(#(\d+)\)|\[#?(\d{2,})\]|(?:^|\s)#(\d{2,})\b"
+# Domains of answers.
+STRIDE = ("Spoofing", "Tampering", "Repudiation", "Information Disclosure", "Denial of Service", "Elevation of Privilege", "Other")
+CWE_TOP = (
+    "CWE-79", "CWE-787", "CWE-89", "CWE-352", "CWE-22", "CWE-125", "CWE-78", "CWE-416", "CWE-862", "CWE-434", "CWE-94", "CWE-20", "CWE-77",
+    "CWE-287", "CWE-269", "CWE-502", "CWE-200", "CWE-863", "CWE-918", "CWE-119", "CWE-476", "CWE-798", "CWE-190", "CWE-400", "CWE-306",
+)
+# Profiles.
+LANGUAGES = {
+    "geth": "Go", "erigon": "Go", "prysm": "Go", "nethermind": "C#", "besu": "Java", "teku": "Java",
+    "reth": "Rust", "lighthouse": "Rust", "grandine": "Rust", "nimbus": "Nim", "lodestar": "TypeScript",
+}
+CHANNELS = {
+    "malicious_p2p_message": "network: p2p / gossip", "malicious_attestation": "network: p2p / gossip", "peer": "network: p2p / gossip",
+    "malicious_block": "network: block gossip", "malicious_tx": "on-chain: transaction / EVM", "malformed_input": "parsing untrusted input",
+    "large_input": "parsing untrusted input", "crafted_state": "crafted chain state", "internal_only": "internal (not attacker-reachable)",
+}
+CHANNEL_ORDER = (
+    "network: p2p / gossip", "network: block gossip", "on-chain: transaction / EVM", "parsing untrusted input", "crafted chain state",
+    "internal (not attacker-reachable)",
+)
+VALUE_AREAS = ("evm", "opcodes", "precompiles", "fork-choice", "transactions", "crypto", "kzg-commitments", "serialization", "state-trie")
+AVAILABILITY_AREAS = ("p2p", "p2p-interface", "sync", "rpc", "txpool", "database", "engine-api")
+SIZE_BINS = (0, 5, 10, 20, 30, 50, 100, 200, 500, 5000)

@@ -1,4 +1,4 @@
-"""Unified diffs as nested hunks, by higher-order functions over the lines of each diff."""
+"""Unified diffs as hunks and as nested documents: the lines of each diff as rows, with windows over them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Lines of a file from which no further hunk is kept; characters of a hunk from which it is cut.
 FILE_LINES, HUNK_CHARS = 400, 16_000
-LINES_MARK, CHARS_MARK = "… [file truncated]", "\n… [truncated]"
+LINES_MARK, CHARS_MARK = "… [truncated]", "\n… [truncated]"
 
 
 def diff_lines(diffs: DataFrame, key: str, diff: str) -> DataFrame:
@@ -78,6 +78,28 @@ def hunks(diffs: DataFrame, key: str, diff: str) -> DataFrame:
     )
 
 
+def documents(diffs: DataFrame, key: str, diff: str) -> DataFrame:
+    """(key, files_changed, pre_fix_code, post_fix_code) as JSON of every diff: its files in order, and by file the hunks of each side.
+
+    A null diff gives empty lists. The lists of one row are bounded by its diff.
+    """
+    heads = diff_lines(diffs, key, diff).where(F.col("line").startswith("diff --git") & (F.col("file") != ""))
+    files = heads.groupBy("key").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("pos", "file"))), lambda x: x["file"])).alias("files_changed"))
+    by_file = (
+        hunks(diffs, key, diff)
+        .groupBy("key", "side", "file")
+        .agg(F.min("hunk").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("hunk", "start_line", "code"))), lambda h: F.struct(h["start_line"].alias("start_line"), h["code"].alias("code"))).alias("hunks"))
+    )
+    sides = by_file.groupBy("key").agg(
+        *(
+            F.to_json(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("first", "file", "hunks")))), lambda f: F.struct(f["file"].alias("file"), f["hunks"].alias("hunks")))).alias(name)
+            for side, name in (("pre", "pre_fix_code"), ("post", "post_fix_code"))
+        )
+    )
+    every = diffs.select(F.col(key).alias("key")).distinct().join(files, "key", "left").join(sides, "key", "left")
+    return every.select("key", *(F.coalesce(c, F.lit("[]")).alias(c) for c in ("files_changed", "pre_fix_code", "post_fix_code")))
+
+
 CODE_CHANGE = "array<struct<file:string,hunks:array<struct<start_line:int,code:string>>>>"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import all_matches, capitalised, filled, first_match, first_present, lines, lookup, matches, present, slug, strip
+from .curate import join_estimates
 from .dedup import keep_first
 
 CRAWL = ("source", "contest", "issue_id", "severity", "title", "description", "source_url", "introduced_in_commit")
@@ -19,24 +20,42 @@ def conform(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns))
 
 
-def normalise(crawl: DataFrame, domain: str, scraped_at: str) -> DataFrame:
-    """Crawl rows as unified findings; rows with neither title nor description are dropped."""
-    issue = F.trim(F.regexp_replace(first_present(F.col("issue_id")), "^#+", ""))
+def synthesised_url(platform: Column, contest_slug: Column, issue_id: Column) -> Column:
+    """The address that can be told from platform, contest and issue; only one platform's can, others get an empty one."""
+    number = F.trim(F.regexp_replace(issue_id, "^#+", ""))
+    known = (platform == "code4rena") & (contest_slug != "") & (number != "")
+    return F.when(known, F.concat(F.lit("https://github.com/code-423n4/"), contest_slug, F.lit("/issues/"), number)).otherwise("")
+
+
+def normalise(crawl: DataFrame, domain: str, scraped_at: str, platform_hint: str = "", platforms: tuple[str, ...] = (), severities: tuple[str, ...] = ()) -> DataFrame:
+    """Crawl rows as unified findings; rows with neither title nor description are dropped.
+
+    Absent columns are empty. ``platform_hint`` fills a missing source; no platforms or severities
+    mean all of them.
+    """
+    have = {c: F.col(c) if c in crawl.columns else F.lit("") for c in CRAWL}
+    issue = F.trim(F.regexp_replace(first_present(have["issue_id"]), "^#+", ""))
     rows = crawl.select(
-        first_present(F.col("source")).alias("source_platform"),
-        first_present(F.col("contest")).alias("contest"),
+        first_present(have["source"], F.lit(platform_hint)).alias("source_platform"),
+        first_present(have["contest"]).alias("contest"),
         issue.alias("issue_id"),
-        capitalised(first_present(F.col("severity"))).alias("severity"),
-        first_present(F.col("title")).alias("title"),
-        first_present(F.col("description")).alias("description"),
-        first_present(F.col("source_url")).alias("source_url"),
+        capitalised(first_present(have["severity"])).alias("severity"),
+        first_present(have["title"]).alias("title"),
+        first_present(have["description"]).alias("description"),
+        first_present(have["source_url"]).alias("source_url"),
+        first_present(have["introduced_in_commit"]).alias("introduced_in_commit"),
     ).where("title <> '' or description <> ''")
+    if platforms:
+        rows = rows.where(F.col("source_platform").isin(*(p.strip().lower() for p in platforms)))
+    if severities:
+        rows = rows.where(F.col("severity").isin(*(x.strip().capitalize() for x in severities)))
     platform = F.lower(F.col("source_platform"))
     named = (F.col("source_platform") != "") & (slug(F.col("contest")) != "") & (F.col("issue_id") != "")
     key = F.when(named, F.concat_ws(":", platform, slug(F.col("contest")), F.col("issue_id"))).otherwise(
         F.concat(F.lit("unknown:"), F.substring(F.sha2(F.concat_ws("\n", "title", "description"), 256), 1, 16))
     )
-    return rows.select(key.alias("id"), "*", F.lit(domain).alias("domain"), F.lit(scraped_at).alias("scraped_at"))
+    url = F.when(F.col("source_url") != "", F.col("source_url")).otherwise(synthesised_url(platform, slug(F.col("contest")), F.col("issue_id")))
+    return rows.select(key.alias("id"), "*", F.lit(domain).alias("domain"), F.lit(scraped_at).alias("scraped_at")).withColumn("source_url", url)
 
 
 def merge_severity(severity: Column) -> Column:
@@ -62,37 +81,50 @@ def merge_new(crawl: DataFrame, existing: DataFrame) -> DataFrame:
     return rows.join(existing.select("id"), "id", "left_anti")
 
 
+def append_new(existing: DataFrame, crawl: DataFrame) -> DataFrame:
+    """The existing table with the crawl's new rows below it; columns that one side lacks are null."""
+    return existing.unionByName(merge_new(crawl, existing), allowMissingColumns=True)
+
+
 def enrich(findings: DataFrame, silent: DataFrame, severities: DataFrame) -> DataFrame:
     """Findings with one row each of the side tables, whose null keys and later repeats are dropped."""
     scores = keep_first(silent.where("source_url is not null"), ["source_url"], [F.col("silent_fix_prob").desc_nulls_last(), "vuln_class", "reason"])
-    grades = keep_first(severities.where("id is not null"), ["id"], ["severity_estimated", "severity_source", "impact_type", "reachability", "blast_radius", "severity_why"])
-    return (
-        findings.select("id", "source_platform", "source_url")
-        .join(scores.select("source_url", "silent_fix_prob", "vuln_class"), "source_url", "left")
-        .join(grades.select("id", capitalised(F.col("severity_estimated")).alias("severity_estimated"), "impact_type"), "id", "left")
-    )
+    rows = findings.select("id", "source_platform", "source_url").join(scores.select("source_url", "silent_fix_prob", "vuln_class"), "source_url", "left")
+    return join_estimates(rows, severities)
 
 
 def layer(platform: Column) -> Column:
     return F.when(platform.isin(*fixed.CONSENSUS_PLATFORMS), "consensus").otherwise("execution")
 
 
-def classify(findings: DataFrame) -> DataFrame:
-    """(id, layer, area, root_cause, attack_path) by ordered patterns over files, title and description."""
-    text = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("files_changed", "title", "description")))
-    common = first_match(text, fixed.COMMON_AREAS, "other")
-    rows = findings.select("id", layer(F.col("source_platform")).alias("layer"), text.alias("text"))
+def classify(findings: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
+    """(id, layer, area, root_cause, attack_path) by ordered patterns over files, title and description.
+
+    With predictions (source_url, vuln_class, reason), one row an address, the reason stands before
+    the text of cause and path, and the class gives the cause where no pattern does.
+    """
+    haystack = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("files_changed", "title", "description")))
+    rows = findings.select("id", layer(F.col("source_platform")).alias("layer"), haystack.alias("text"), "source_url")
+    told, fallback = F.col("text"), F.lit("other")
+    if predictions is not None:
+        rows = rows.join(predictions.select("source_url", "vuln_class", "reason"), "source_url", "left")
+        told, fallback = F.concat_ws(" ", F.coalesce("reason", F.lit("")), "text"), class_cause(F.coalesce("vuln_class", F.lit("")))
+    rows = rows.withColumn("told", told).withColumn("fallback", fallback)
+    own = F.when(F.col("layer") == "consensus", label_of("text", fixed.CONSENSUS_AREAS)).otherwise(label_of("text", fixed.EXECUTION_AREAS))
     return rows.select(
         "id",
         "layer",
-        F.when(F.col("layer") == "consensus", first_match(F.col("text"), fixed.CONSENSUS_AREAS, first_match(F.col("text"), fixed.COMMON_AREAS, "other")))
-        .otherwise(first_match(F.col("text"), fixed.EXECUTION_AREAS, first_match(F.col("text"), fixed.COMMON_AREAS, "other")))
-        .alias("area"),
-        first_match(F.col("text"), fixed.ROOT_CAUSES, "other").alias("root_cause"),
-        first_match(F.col("text"), fixed.ATTACK_PATHS, "malformed_input").alias("attack_path"),
+        F.coalesce(own, label_of("text", fixed.COMMON_AREAS), F.lit("other")).alias("area"),
+        F.coalesce(label_of("told", fixed.ROOT_CAUSES), "fallback").alias("root_cause"),
+        F.coalesce(label_of("told", fixed.ATTACK_PATHS), F.lit("malformed_input")).alias("attack_path"),
     )
 
 
+def label_of(text: str, rules: tuple[tuple[str, str], ...]) -> Column:
+    """The label of the first rule whose pattern occurs, null where none does."""
+    return first_match(F.col(text), rules, F.lit(None).cast("string"))
+
+
 def class_cause(vuln_class: Column) -> Column:
     return lookup(F.lower(vuln_class), fixed.CLASS_CAUSES, F.lit("other"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import all_matches, title_key
@@ -67,21 +67,62 @@ def clusters(findings: DataFrame) -> DataFrame:
     return findings.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("cluster_id"))
 
 
-SEVERITY_RANK = {"critical": 5, "high": 4, "medium": 3, "low": 2, "info": 1}
+#: Ranks of severities as they stand; anything else is 0, as is blank.
+SEVERITY_RANK = {"Critical": 6, "High": 5, "Medium": 4, "Low": 3, "Info": 2, "Unrated": 1}
 
 
 def severity_rank(severity: Column) -> Column:
     out = F.lit(0)
     for name, rank in SEVERITY_RANK.items():
-        out = F.when(F.lower(F.trim(severity)) == name, rank).otherwise(out)
+        out = F.when(severity == name, rank).otherwise(out)
     return out
 
 
-def collapse(findings: DataFrame) -> DataFrame:
-    """One row a cluster: its size, the id of the most severe member (smallest id on ties), and its addresses."""
-    rows = findings.select("id", severity_rank(F.col("severity")).alias("rank"), F.coalesce("source_url", F.lit("")).alias("url")).join(clusters(findings), "id")
-    return rows.groupBy("cluster_id").agg(
+def evidence(findings: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster_id, place, source_url): the distinct addresses of each cluster in the order of the smallest id that has them.
+
+    A cluster of one keeps its address even if it is empty. One row an address, so that a large
+    cluster is no large cell.
+    """
+    rows = findings.select("id", F.coalesce("source_url", F.lit("")).alias("source_url")).join(members, "id")
+    sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = rows.join(sizes, "cluster_id").where("source_url <> '' or n = 1")
+    first = kept.groupBy("cluster_id", "source_url").agg(F.min("id").alias("first"))
+    return first.select("cluster_id", F.row_number().over(Window.partitionBy("cluster_id").orderBy("first", "source_url")).alias("place"), "source_url")
+
+
+def collapse(findings: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """One row a cluster: size, the id of the most severe member (smallest id on ties) and the addresses as a JSON list.
+
+    The order of ids stands for the order of rows, also in ``first_id``, by which the output is to be ordered.
+    """
+    members = clusters(findings) if members is None else members
+    rows = findings.select("id", severity_rank(F.col("severity")).alias("rank")).join(members, "id")
+    heads = rows.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("size"),
+        F.min("id").alias("first_id"),
         F.min(F.struct((-F.col("rank")).alias("r"), F.col("id"))).getField("id").alias("representative"),
-        F.count_distinct(F.when(F.col("url") != "", F.col("url"))).alias("n_evidence"),
     )
+    listed = evidence(findings, members).groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("place", "source_url"))).alias("e"))
+    return heads.join(listed, "cluster_id", "left").select(
+        "cluster_id", "size", "first_id", "representative", F.coalesce(F.to_json(F.transform("e", lambda x: x["source_url"])), F.lit("[]")).alias("evidence")
+    )
+
+
+def report(findings: DataFrame, members: DataFrame) -> DataFrame:
+    """One row: rows before and after, duplicates, clusters of several, the largest, the rate in percent, and commits shared across platforms."""
+    sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = sizes.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("input_rows"),
+        F.count(F.lit(1)).alias("output_rows"),
+        F.count_if(F.col("n") > 1).alias("clusters"),
+        F.coalesce(F.max("n"), F.lit(0)).alias("largest"),
+    )
+    shared = identity_keys(findings).where(F.col("key").startswith("sha|")).join(findings.select("id", F.coalesce("source_platform", F.lit("")).alias("p")), "id")
+    shared = shared.groupBy("key").agg(F.min("p").alias("a"), F.max("p").alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias("shared_commits"))
+    rows = counts.select("*", F.lit(None).cast("long").alias("shared_commits")).unionByName(
+        shared.select(*(F.lit(None).cast("long").alias(c) for c in ("input_rows", "output_rows", "clusters", "largest")), "shared_commits")
+    )
+    whole = rows.agg(*(F.max(c).alias(c) for c in rows.columns))
+    duplicates = F.col("input_rows") - F.col("output_rows")
+    return whole.select("*", duplicates.alias("duplicates"), F.round(F.coalesce(F.try_divide(100.0 * duplicates, F.col("input_rows")), F.lit(0.0)), 2).alias("rate_pct"))
