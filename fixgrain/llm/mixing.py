@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import heapq
+import importlib.util
 import math
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,32 +17,47 @@ from ..runtime import Scratch, table
 
 #: Vocabulary file of a public tokenizer; a parameter of every operator here.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Blocks in the whole mix; the schedule has one row a block.
-BLOCKS = 4096
+#: Tokens of a block of the mix; a parameter. The schedule is a table of one row a block, made in parts by the executors.
+BLOCK = 4_000_000
+#: Fewest blocks of a mix, so that a small one is interleaved as finely.
+LEAST_BLOCKS = 4096
 #: Hash ranges a source's documents are summed over.
 RANGES = 256
 #: More sources than this are refused: targets are a driver-side table.
 MOST_SOURCES = 10_000
 
-_ENCODINGS: dict[str, object] = {}
+_ENCODINGS: dict[tuple, object] = {}
 
 
-def _encoding(path: str):
-    if path not in _ENCODINGS:
-        import public_tokenizers
+def _read_tokenizer(path: str) -> tuple[str, bytes]:
+    """Splitting pattern and vocabulary, read on the driver, so that executors need neither file nor helper package."""
+    spec = importlib.util.find_spec("public_tokenizers")
+    pattern = importlib.import_module("public_tokenizers").PATTERN if spec else PATTERN
+    return pattern, Path(path).read_bytes()
+
+
+#: Splitting pattern where the helper package is absent: words with one leading space, numbers, signs, spaces.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _encoding(pattern: str, vocabulary: bytes):
+    key = (pattern, len(vocabulary), hash(vocabulary))
+    if key not in _ENCODINGS:
         import tiktoken
 
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        _ENCODINGS[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
+        _ENCODINGS[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODINGS[key]
 
 
 def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, n_tokens) of every row; null texts have no tokens."""
 
+    # A vocabulary file is of a few megabytes at most.
+    shared = documents.sparkSession.sparkContext.broadcast(_read_tokenizer(tokenizer))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(tokenizer)
+        encoding = _encoding(*shared.value)
         for batch in batches:
             sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(sizes, pa.int64())], names=["doc_id", "source", "n_tokens"])
@@ -73,11 +90,32 @@ def pfair(weights: dict[str, float], blocks: int) -> list[tuple[int, str, int]]:
     return out
 
 
-def compose(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, size: int | None = None) -> tuple[DataFrame, DataFrame]:
+def schedule(spark: SparkSession, shares: dict[str, float]) -> DataFrame:
+    """(source, block, slot) of all blocks, given how many blocks each source fills.
+
+    Up to LEAST_BLOCKS blocks the schedule is Pfair as a whole. Beyond, it repeats in rounds of about
+    that many slots: each round is Pfair, a source having the same whole number of blocks in all
+    of them, so that it is ahead of its share by less than one block a round. The rounds are rows
+    made by the executors; the driver schedules one of them.
+    """
+    whole = sum(shares.values())
+    if not whole:
+        return spark.createDataFrame([], "source string, block long, slot long")
+    rounds = max(1, math.ceil(whole / LEAST_BLOCKS))
+    each = {name: max(1, math.ceil(n / rounds - 1e-9)) for name, n in shares.items() if n > 0}
+    one = pfair({k: float(n) for k, n in each.items()}, sum(each.values()))
+    length = max(slot for slot, _, _ in one) + 1
+    base = spark.createDataFrame([(name, j, slot, each[name]) for slot, name, j in one if j < each[name]], "source string, j long, first long, each long")
+    every = base.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))))
+    return every.select("source", (F.col("round") * F.col("each") + F.col("j")).alias("block"), (F.col("round") * length + F.col("first")).alias("slot"))
+
+
+def compose(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, size: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The mix and its report.
 
     The mix has (slot, source, doc_id, repetition, n_tokens), to be read in slot order. It is as
-    large as all documents together unless ``size`` in tokens is given. A source gives its
+    large as all documents together unless ``size`` in tokens is given, and is scheduled in blocks of
+    ``block`` tokens or, if that makes fewer, in LEAST_BLOCKS. A source gives its
     target_share of that, taking its documents in hash order again and again, but none more than
     max_repeats times; each row counts as one text. The report has (source, target_share,
     max_repeats, source_tokens, wanted_tokens, can_reach, mix_tokens, mix_share) for every source
@@ -111,8 +149,10 @@ def compose(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER
             starts.append((r["source"], k, run, have, float(take)))
             run += own[k]
     mixed = sum(p[6] for p in plan)
-    block = max(1.0, mixed / BLOCKS)
-    slots = spark.createDataFrame(pfair({p[0]: p[6] for p in plan}, BLOCKS + len(plan)), "slot int, source string, block int")
+    blocks = max(LEAST_BLOCKS, math.ceil(mixed / block))
+    length = max(1.0, mixed / blocks)
+    # Every source has all blocks that its tokens fill, the last one maybe in part, and each has its slot.
+    slots = schedule(spark, {p[0]: p[6] / length for p in plan})
     offsets = spark.createDataFrame(starts, "source string, range int, offset long, have long, take double")
     before = F.sum("n_tokens").over(Window.partitionBy("source", "range").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
     placed = (
@@ -122,11 +162,9 @@ def compose(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER
         .withColumn("repetition", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("take") / F.col("have")).cast("int") - 1))))
         .withColumn("at", F.col("at") + F.col("repetition") * F.col("have"))
         .where("at < take")
-        .withColumn("block", F.floor(F.col("at") / block).cast("int"))
-    )
-    mix = placed.join(F.broadcast(slots), ["source", "block"], "left").select(
-        F.coalesce("slot", F.lit(2 * BLOCKS)).alias("slot"), "source", "doc_id", "repetition", "n_tokens"
+        .withColumn("block", F.floor(F.col("at") / length).cast("long"))
     )
+    mix = placed.join(slots, ["source", "block"]).select("slot", "source", "doc_id", "repetition", "n_tokens")
     mix = scratch.cut(mix, "mix")
     reached = mix.groupBy("source").agg(F.sum("n_tokens").alias("mix_tokens"))
     report = spark.createDataFrame(

@@ -288,6 +288,15 @@ def test_short_lines_and_edited_passages_of_least_length_are_found(spark):
     assert {(r["item_id"], r["doc_id"]) for r in got.collect()} == want
 
 
+def test_items_beyond_one_index_are_found(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(k, prose(rng, 60), None) for k in range(9)]
+    docs = [(k, f"{prose(rng, 60)} {' '.join(items[k][1].split()[10:45])} {prose(rng, 60)}") for k in range(9)]
+    monkeypatch.setattr(leaks, "SHARD", 150)
+    got = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, description string, diff string"))
+    assert {(r["item_id"], r["doc_id"]) for r in got.collect()} == {(k, k) for k in range(9)}
+
+
 def test_a_quotation_does_not_hide_a_passage(spark):
     rng = random.Random(7)
     items = [(k, prose(rng, 60), None) for k in range(6)]
@@ -311,6 +320,26 @@ def test_pfair_stays_within_one_block():
         assert all(abs(seen[k] - w * n) <= 1.0 + 1e-6 for k, w in weights.items())
 
 
+def test_schedule_has_a_slot_for_every_block(spark):
+    for shares in ({"a": 3.4, "b": 1.0, "c": 0.2, "none": 0.0}, {"a": 9000.3, "b": 4500.2, "c": 0.5}):
+        rows = mixing.schedule(spark, shares).collect()
+        assert len({r["slot"] for r in rows}) == len(rows)
+        for name, n in shares.items():
+            own = {r["block"]: r["slot"] for r in rows if r["source"] == name}
+            assert set(range(int(-(-n // 1)))) <= set(own) and [own[k] for k in sorted(own)] == sorted(own.values())
+    assert mixing.schedule(spark, {}).count() == 0
+
+
+def test_smaller_blocks_interleave_more(spark):
+    docs = spark.createDataFrame([(i, "word " * 20, "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    mix = mixing.compose(docs, targets)[0].orderBy("slot").collect()
+    for n in range(1, len(mix) + 1):
+        held = Counter(r["source"] for r in mix[:n])
+        assert abs(held["a"] - held["b"]) <= 2
+    assert mixing.compose(docs, targets, block=2)[0].count() == len(mix) == 400
+
+
 def test_mix(spark):
     docs = spark.createDataFrame([(i, "word " * 20, "big" if i % 10 else "small") for i in range(400)] + [(900, None, "big"), (901, "x", None)], "doc_id long, text string, source string")
     targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.2, 2), ("tiny", 0.3, 3)], "source string, target_share double, max_repeats int")
