@@ -190,5 +190,34 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compose(spark, sf_dir)[1]
 
 
-QUERIES = {"p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares}
-SQL: dict[str, str] = {}
+def mix_violations(documents: DataFrame, targets: DataFrame, mix: DataFrame, report: DataFrame) -> DataFrame:
+    """(check, n): texts repeated more than their source allows, rows of other sources, slots of two sources, and reachable
+    sources whose size misses what is wanted by more than a thousandth of it and their longest text.
+    """
+    limits = targets.where("source is not null").groupBy("source").agg(F.max("max_repeats").alias("most"))
+    rows = documents.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    uses = mix.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("k")).join(limits, "source", "left").join(rows, ["source", "doc_id"], "left")
+    checks = [
+        uses.agg(F.count_if(F.col("most").isNotNull() & (F.col("k") > F.col("most") * F.coalesce("copies", F.lit(0)))).alias("n")).select(F.lit("repeats").alias("check"), "n"),
+        uses.agg(F.count_if(F.col("most").isNull() | F.col("copies").isNull()).alias("n")).select(F.lit("sources").alias("check"), "n"),
+        mix.groupBy("slot").agg(F.count_distinct("source").alias("k")).agg(F.count_if(F.col("k") > 1).alias("n")).select(F.lit("slots").alias("check"), "n"),
+    ]
+    longest = mix.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    off = F.abs(F.col("mix_tokens") - F.col("wanted_tokens")) > F.col("wanted_tokens") / 1000 + F.coalesce("longest", F.lit(0))
+    checks.append(report.where("can_reach").join(longest, "source", "left").agg(F.count_if(off).alias("n")).select(F.lit("sizes").alias("check"), "n"))
+    out = checks[0]
+    for check in checks[1:]:
+        out = out.unionByName(check)
+    return out
+
+
+def p7_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix, report = _compose(spark, sf_dir)
+    return mix_violations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), mix, report)
+
+
+QUERIES = {"p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_violations": p7_violations}
+SQL = {
+    # What a right mix has, whatever it is: the checks themselves are tested with planted violations.
+    "p7_violations": "SELECT unnest(['repeats', 'sources', 'slots', 'sizes']) AS check, 0::BIGINT AS n",
+}

@@ -225,5 +225,22 @@ def p8_accuracies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accuracies(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_statistics": p8_statistics, "p8_accuracies": p8_accuracies}
-SQL: dict[str, str] = {}
+def p8_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics alone, shares to nine digits."""
+    rows = measured(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "word_count", *(F.round(c, 9).alias(c) for c in STATISTICS[1:]))
+
+
+_LIST_SQL = ", ".join(f"'{w}'" for w in sorted(COMMON))
+_MEASURES_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+a AS (SELECT doc_id, t, regexp_extract_all(lower(t), '[\p{{L}}\p{{Nl}}\p{{No}}]+(?:[''’-][\p{{L}}\p{{Nl}}\p{{No}}]+)*') AS w, regexp_extract_all(t, '\S+') AS k,
+  list_filter(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '') AS l, length(t) - length(regexp_replace(t, '[ \n\t]', '', 'g')) AS blanks FROM d),
+b AS (SELECT *, length(t) - blanks AS solid, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS letters FROM a)
+SELECT doc_id, len(w) AS word_count, round(CASE WHEN len(k) > 0 THEN list_sum(list_transform(k, lambda x: length(x))) / len(k) ELSE 0.0 END, 9) AS mean_word_length,
+  round(CASE WHEN solid > 0 THEN greatest(0.0, 1.0::DOUBLE - letters / solid) ELSE 0.0 END, 9) AS symbol_ratio,
+  round(CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda x: regexp_matches(rtrim(x, ' ' || chr(9) || chr(13)), '[.!?…:"”]$'))) / len(l) ELSE 0.0 END, 9) AS punct_line_share,
+  round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: x IN ({_LIST_SQL}))) / len(w) ELSE 0.0 END, 9) AS common_word_share FROM b"""
+
+QUERIES = {"p8_found": p8_found, "p8_statistics": p8_statistics, "p8_accuracies": p8_accuracies, "p8_measures": p8_measures}
+SQL = {"p8_measures": _MEASURES_SQL}

@@ -214,6 +214,32 @@ def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def split_violations(records: DataFrame, split: DataFrame, targets: list[tuple[str, float]]) -> DataFrame:
+    """(check, n): units and platforms that stand in two splits, records without or with several rows, and, of the
+    splits by commit, those that miss their target by more than the largest unit and one record in a thousand.
+    """
+    whole = sum(share for _, share in targets)
+    parts = [
+        split.groupBy(unit).agg(F.count_distinct(part).alias("k")).agg(F.count_if(F.col("k") > 1).alias("n")).select(F.lit(f"{part} of one {unit}").alias("check"), "n")
+        for unit, part in (("unit_id", "commit_split"), ("source_platform", "platform_split"))
+    ]
+    given = records.where("id is not null").select("id").distinct().withColumn("k", F.lit(0)).unionByName(split.select("id", F.lit(1).alias("k")))
+    parts.append(given.groupBy("id").agg(F.sum("k").alias("k")).agg(F.count_if(F.col("k") != 1).alias("n")).select(F.lit("rows of one id").alias("check"), "n"))
+    largest = split.groupBy("unit_id").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
+    got = {r["commit_split"]: r["k"] for r in split.groupBy("commit_split").agg(F.count(F.lit(1)).alias("k")).collect()}
+    total = sum(got.values())
+    off = sum(abs(got.get(name, 0) - total * share / whole) > largest + total / 1000 + 1 for name, share in targets)
+    parts.append(split.sparkSession.createDataFrame([("shares off target", off)], "check string, n long"))
+    return _union(parts)
+
+
+def p1_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = _targets(spark, sf_dir)
+    records = table(spark, sf_dir, "ethereum_vulns")
+    split = Scratch(spark, "violations").cut(split_records(records, targets), "split")
+    return split_violations(records, split, targets)
+
+
 _HASH_SQL = r"""
 named AS (
   SELECT id, source_platform, nullif(regexp_extract(lower(regexp_replace(fix_commit, '^\s+|\s+$', '', 'g')),
@@ -224,9 +250,11 @@ named AS (
 ), keys AS (SELECT h, max(h) OVER (PARTITION BY substr(h, 1, 7), r) AS c FROM runs)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares}
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p1_violations": p1_violations}
 SQL = {
     "p1_found": "WITH" + _HASH_SQL
     + ", u AS (SELECT id, min(id) OVER (PARTITION BY c) AS unit_id, count(*) OVER (PARTITION BY c) AS n FROM named JOIN keys USING (h))"
-    " SELECT id, unit_id FROM u WHERE n > 1"
+    " SELECT id, unit_id FROM u WHERE n > 1",
+    # What a right assignment has, whatever it is: the checks themselves are tested with planted violations.
+    "p1_violations": "SELECT unnest(['commit_split of one unit_id', 'platform_split of one source_platform', 'rows of one id', 'shares off target']) AS check, 0::BIGINT AS n",
 }

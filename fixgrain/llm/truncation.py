@@ -1,18 +1,20 @@
 """Problem 3: values that stop before their text does.
 
-The corpus gives a vocabulary trie (a table of word prefixes), the endings of whole sentences by
-how the sentence begins, the shapes of whole lines and the lengths of values. A value is cut if it
-says so, if its JSON or a bracket is left open, if its final token is an unknown proper prefix of
-known words, if its last sentence or line ends as no whole one does, or if it ends so at a length
-at which values pile up.
+The corpus gives a vocabulary trie for texts and one for code (tables of word prefixes), the endings
+of whole sentences by how the sentence begins, the endings of whole lines, and the lengths of
+values. A value is cut if it says so, if its JSON or a bracket is left open, if its final token is
+an unknown proper prefix of known words, if its last sentence or line of code ends as no whole one
+does, or if it ends so at a length at which values pile up.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +24,13 @@ from ..runtime import Scratch, table
 from .residue import missing, residue_scores
 
 CODE_FIELDS = ("pre_fix_code", "post_fix_code")
-#: Longest word that is entered in the trie.
-LONGEST = 48
-#: Occurrences inside texts that make a word known; share of all lines that makes a line shape known.
-KNOWN, LINE_SHARE = 3, 8e-5
+#: Share of a prefix's words under which the prefix alone counts as no word; share of a sentence opening's whole sentences
+#: under which an ending counts as none; share of all lines that makes the end of a line known.
+WORD_SHARE, END_SHARE, LINE_SHARE = 0.01, 1e-3, 8e-5
+#: Whole sentences that an opening needs before its endings say anything.
+LEAST_STARTS = 20
+#: Last words of a line by which lines are compared.
+LINE_WORDS = 12
 
 #: What says or shows at the end of a value that it was cut.
 MARKER = re.compile(
@@ -50,7 +55,13 @@ def shape(token: str) -> str:
 
 
 def line_shape(line: str) -> str:
-    return " ".join(map(shape, _TOKEN.findall(line)))
+    """The shapes of a line's last LINE_WORDS words."""
+    return " ".join(map(shape, _TOKEN.findall(" ".join(line.split()[-LINE_WORDS:]))))
+
+
+def line_end(line: str) -> str:
+    """The shapes of the last two tokens of a line of code."""
+    return " ".join(map(shape, _TOKEN.findall(line)[-2:]))
 
 
 def sentence_key(sentence: str) -> str:
@@ -68,9 +79,7 @@ def read_description(text: str, count: Counter) -> tuple[int, str, str, str]:
     lines = [s for s in body.split("\n") if s.strip()]
     last_line = lines[-1].strip()
     fenced = body.count("```") % 2
-    for line in lines:
-        if len(line) < 60:
-            count["line", line_shape(line.strip())] += 1
+    count.update(("line", line_shape(line)) for line in lines[:-1])
     sentences: list[str] = []
     inside = False
     for line in lines:
@@ -92,14 +101,14 @@ def read_description(text: str, count: Counter) -> tuple[int, str, str, str]:
     return 0, tokens[-1] if tokens else "", sentence_key(sentences[-1]) if sentences else "", line_shape(last_line)
 
 
-def read_code(text: str, count: Counter) -> tuple[int, list[str]]:
-    """(state, shapes of last lines to look up) of a JSON code value."""
+def read_code(text: str, count: Counter) -> tuple[int, list[tuple[str, str, str]]]:
+    """(state, (kind, final token, line shape or end) to look up for each last line) of a JSON code value; states as in read_description."""
     try:
         files = json.loads(text)
         hunks = [h["code"] for f in files for h in f["hunks"]]
     except (ValueError, TypeError, KeyError):
         return 1, []
-    open_shapes = []
+    ask: list[tuple[str, str, str]] = []
     for code in hunks:
         if not isinstance(code, str) or not code.strip():
             continue
@@ -108,15 +117,19 @@ def read_code(text: str, count: Counter) -> tuple[int, list[str]]:
             return 1, []
         for line in lines[:-1]:
             if _COMMENT.match(line):
-                count["code", line_shape(line.strip())] += 1
+                count["code", line_shape(line)] += 1
+            elif line.strip():
+                tokens = _TOKEN.findall(line)
+                count.update(("codeword", t) for t in tokens if t[0].isalpha())
+                count["codeend", " ".join(map(shape, tokens[-2:]))] += 1
         last = lines[-1].strip()
-        if not _COMMENT.match(last):
-            if code.count("(") > code.count(")") or last[-1] not in ";){}":
-                return 1, []
-        else:
-            count["code", ""] += 1
-            open_shapes.append(line_shape(last))
-    return 0 if open_shapes else 2, open_shapes
+        if _COMMENT.match(last):
+            ask.append(("code", "", line_shape(last)))
+        elif code.count("(") > code.count(")"):
+            return 1, []
+        elif last[-1] not in ";){}":
+            ask.append(("codeend", (_TOKEN.findall(last) or [""])[-1], line_end(last)))
+    return 0 if ask else 2, ask
 
 
 _SCHEMA = "kind string, id string, field_name string, a string, b string, c string, n long, platform string"
@@ -140,17 +153,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count["len", f"description\u0001{len(text)}"] += 1
             count["all", f"description\u0001{platform or ''}"] += 1
             if state < 2:
-                rows.append(("value", key, "description", token, sentence, line, state * 10**9 + len(text), platform))
+                rows.append(("value", key, "description", token, sentence, f"{line}\u0001{zlib.crc32(text.encode())}", state * 10**9 + len(text), platform))
         for name in CODE_FIELDS:
             for key, platform, text in zip(ids, platforms, batch.column(name).to_pylist()):
                 if missing(text) or text.strip() == "[]":
                     continue
                 count["all", f"{name}\u0001{platform or ''}"] += 1
-                state, shapes = read_code(text, count)
+                count["len", f"{name}\u0001{len(text)}"] += 1
+                state, asked = read_code(text, count)
                 if state == 1:
                     rows.append(("value", key, name, "", "", "", 10**9, platform))
-                elif state == 0:
-                    rows.extend(("code", key, name, s, "", "", 0, platform) for s in shapes)
+                rows.extend((f"last-{kind}", key, name, token, end, "", len(text), platform) for kind, token, end in asked)
         if rows:
             yield out(rows)
         if len(count) > 300_000:
@@ -161,7 +174,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_values(records: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """((id, field_name, source_platform) of every value that is not whole, (field_name, source_platform, n_values)).
+    """((id, field_name, source_platform, broken_word) of every value that is not whole, (field_name, source_platform, n_values)).
+
+    ``broken_word`` says that the trie takes the final token for a part of a word.
 
     Missing values, ``nan`` and ``[]`` are no values; rows of a null id are left out. A repeated
     record counts once as a case. Whole texts are read. Values that problem 4 takes for residue are
@@ -176,48 +191,77 @@ def cut_values(records: DataFrame, scratch: Scratch | None = None) -> tuple[Data
         return read.where(F.col("kind") == kind).groupBy("a").agg(F.sum("n").alias("n"))
 
     values = read.where("kind = 'value'").select(
-        "id", "field_name", "platform", F.col("a").alias("token"), F.col("b").alias("sentence"), F.col("c").alias("line"), (F.col("n") % 10**9).alias("length"), (F.col("n") >= 10**9).alias("cut")
+        "id",
+        "field_name",
+        "platform",
+        F.col("a").alias("token"),
+        F.col("b").alias("sentence"),
+        F.substring_index("c", "\u0001", 1).alias("line"),
+        F.substring_index("c", "\u0001", -1).alias("copy"),
+        (F.col("n") % 10**9).alias("length"),
+        (F.col("n") >= 10**9).alias("cut"),
     )
     sure = values.where("cut")
     unsure = values.where("not cut")
-    tokens = unsure.where(F.col("token").rlike("^[A-Za-z]")).select("token").distinct()
-    words = counts("word").where(F.length("a") <= LONGEST)
-    # The trie: a node for every proper prefix of a known word, kept where a final token asks for it.
-    nodes = (
-        words.where(F.col("n") >= KNOWN)
-        .select(F.explode(F.transform(F.sequence(F.lit(1), F.length("a")), lambda k: F.col("a").substr(F.lit(1), k))).alias("token"), "a", "n")
-        .join(tokens, "token", "left_semi")
-        .groupBy("token")
-        .agg(F.sum(F.when(F.col("a") != F.col("token"), F.col("n")).otherwise(0)).alias("n_longer"), F.sum(F.when(F.col("a") == F.col("token"), F.col("n")).otherwise(0)).alias("n_word"))
-    )
+    asked = read.where("kind = 'last-codeend'").select("id", "field_name", "platform", F.col("a").alias("token"), F.col("b").alias("end"), F.col("n").alias("length"))
+
+    def trie(words: DataFrame, tokens: DataFrame) -> DataFrame:
+        """(token, broken): the nodes of the words' trie that final tokens ask for, and whether each is a proper prefix more than a word.
+
+        Prefixes are made only of lengths that some final token has, so a long word costs no more than a short one.
+        """
+        wanted = tokens.where(F.col("token").rlike("^[A-Za-z]")).select("token").distinct()
+        sizes = [r[0] for r in wanted.select(F.length("token")).distinct().collect()]
+        lengths = F.filter(F.array(*map(F.lit, sizes)) if sizes else F.expr("array()").cast("array<int>"), lambda k: k <= F.length("a"))
+        nodes = words.select(F.explode(F.transform(lengths, lambda k: F.col("a").substr(F.lit(1), k))).alias("token"), "a", "n").join(wanted, "token", "left_semi")
+        own = F.col("a") == F.col("token")
+        counts = nodes.groupBy("token").agg(F.sum(F.when(own, F.col("n")).otherwise(0)).alias("n_word"), F.sum("n").alias("n_all"))
+        return counts.select("token", (F.col("n_word") < WORD_SHARE * F.col("n_all")).alias("broken"))
+
+    def piles(field: str) -> DataFrame:
+        """(length, piled): the lengths that many more of a field's values have than is usual."""
+        lengths = counts("len").where(F.substring_index("a", "\u0001", 1) == field).select(F.substring_index("a", "\u0001", -1).cast("long").alias("length"), "n")
+        usual = lengths.agg(F.percentile_approx("n", 0.9)).first()[0] or 0
+        return lengths.select("length", (F.col("n") > max(3 * usual, 8)).alias("piled")).where("piled")
+
+    nodes = trie(counts("word"), unsure)
     ends = counts("end").select(F.col("a").alias("sentence"), F.col("n").alias("n_end"))
     starts = ends.groupBy(F.substring_index("sentence", "\u0001", 1).alias("start")).agg(F.sum("n_end").alias("n_start"))
-    shapes = counts("line").select(F.col("a").alias("line"), F.col("n").alias("n_line"))
+    # A last line is vouched for by inner lines and by the last lines of other texts: copies of one text count once.
+    inner = counts("line").select(F.col("a").alias("line"), F.col("n").alias("n_line"))
+    last = unsure.select("line", "copy").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n_line"))
+    shapes = inner.unionByName(last).groupBy("line").agg(F.sum("n_line").alias("n_line"))
     n_lines = shapes.agg(F.sum("n_line")).first()[0] or 0
-    spikes = counts("len").select(F.substring_index("a", "\u0001", -1).cast("long").alias("length"), F.col("n").alias("n_length"))
-    usual = spikes.agg(F.percentile_approx("n_length", 0.9)).first()[0] or 0
+    # Blank keys are in no table; they stay out of the joins, where they would be one hot key.
+    blank = {c: F.when(F.col(c) != "", F.col(c)) for c in ("token", "sentence", "line")}
     judged = (
-        unsure.withColumn("start", F.substring_index("sentence", "\u0001", 1))
+        unsure.withColumns(blank)
+        .withColumn("start", F.substring_index("sentence", "\u0001", 1))
         .join(nodes, "token", "left")
         .join(ends, "sentence", "left")
         .join(starts, "start", "left")
         .join(shapes, "line", "left")
-        .join(spikes, "length", "left")
+        .join(piles("description"), "length", "left")
         .na.fill(0)
+        .na.fill(False)
     )
     known_line = F.col("n_line") >= max(2.0, LINE_SHARE * n_lines)
-    broken_word = (F.col("n_word") < KNOWN) & (F.col("n_longer") > 0)
-    unended = F.col("n_end") == 0
-    piled = F.col("n_length") > F.greatest(F.lit(3 * usual), F.lit(8))
-    known_start = F.col("n_start") >= 20
-    rare_end = F.col("n_end") * 1000 < F.col("n_start")
-    cut = ~known_line & (broken_word | (unended & (known_start | F.col("start").rlike(r"^\S+$"))) | (piled & (unended | rare_end)))
-    description = judged.where(cut).select("id", "field_name", "platform")
+    unended = F.col("n_end") <= END_SHARE * F.col("n_start")
+    told = F.coalesce((F.col("n_start") >= LEAST_STARTS) | F.col("start").rlike(r"^\S+$"), F.lit(False))
+    description = judged.where(~known_line & (F.col("broken") | (unended & (told | F.col("piled"))))).select("id", "field_name", "platform", "broken")
     comments = counts("code")
     n_comments = comments.agg(F.sum("n")).first()[0] or 0
-    comment_shapes = comments.where(F.col("n") >= max(2.0, LINE_SHARE * n_comments)).select("a")
-    code = read.where("kind = 'code'").join(comment_shapes, "a", "left_anti").select("id", "field_name", "platform")
-    found = sure.select("id", "field_name", "platform").unionByName(description).unionByName(code).distinct()
+    comment_shapes = comments.where(F.col("n") >= max(2.0, LINE_SHARE * n_comments)).select(F.col("a").alias("b"))
+    code = read.where("kind = 'last-code'").join(comment_shapes, "b", "left_anti").select("id", "field_name", "platform", F.lit(False).alias("broken"))
+    # A last line of code that does not close: cut if its final token is broken, its ending is none of whole lines, or lengths pile up.
+    line_ends = counts("codeend")
+    n_ends = line_ends.agg(F.sum("n")).first()[0] or 0
+    known_ends = line_ends.where(F.col("n") >= max(2.0, LINE_SHARE * n_ends)).select(F.col("a").alias("end"), F.lit(True).alias("known"))
+    code_piles = piles(CODE_FIELDS[0]).withColumn("field_name", F.lit(CODE_FIELDS[0])).unionByName(piles(CODE_FIELDS[1]).withColumn("field_name", F.lit(CODE_FIELDS[1])))
+    lasts = asked.join(trie(counts("codeword"), asked), "token", "left").join(known_ends, "end", "left").join(code_piles, ["field_name", "length"], "left").na.fill(False)
+    open_code = lasts.where(F.col("broken") | ~F.col("known") | F.col("piled")).select("id", "field_name", "platform", "broken")
+    found = reduce(DataFrame.unionByName, (sure.select("id", "field_name", "platform", F.lit(False).alias("broken")), description, code, open_code))
+    found = found.groupBy("id", "field_name").agg(F.min("platform").alias("platform"), F.max("broken").alias("broken_word"))
     residue = residue_scores(records).select("id", "field_name").distinct()
     cases = found.join(residue, ["id", "field_name"], "left_anti").withColumnRenamed("platform", "source_platform")
     totals = counts("all").select(
@@ -239,5 +283,11 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates}
+def p3_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field_name, broken_word, n_cut): how many of the cut values end in a part of a word."""
+    cases = cut_values(table(spark, sf_dir, "ethereum_vulns"))[0]
+    return cases.groupBy("field_name", "broken_word").agg(F.count(F.lit(1)).alias("n_cut"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p3_words": p3_words}
 SQL: dict[str, str] = {}

@@ -1,5 +1,6 @@
 """Edge cases and brute-force comparisons of the training-data operators."""
 
+import json
 import random
 from collections import Counter
 
@@ -86,6 +87,25 @@ def test_units_and_splits(spark):
     assert splits.commit_units(rows.limit(0)).count() == 0
 
 
+def test_planted_split_violations(spark):
+    records = spark.createDataFrame([(k,) for k in "abcd"], "id string")
+    good = [("a", "x", "u", "train", "train"), ("b", "x", "u", "train", "train"), ("c", "y", "v", "test", "test"), ("d", "y", "w", "test", "test")]
+    schema = "id string, source_platform string, unit_id string, commit_split string, platform_split string"
+    targets = [("train", 0.5), ("test", 0.5)]
+    check = lambda rows: {r["check"]: r["n"] for r in splits.split_violations(records, spark.createDataFrame(rows, schema), targets).collect()}
+    assert set(check(good).values()) == {0}
+    bad = [good[0], ("b", "x", "u", "test", "test"), *good[2:3], good[2]]
+    assert check(bad) == {"commit_split of one unit_id": 1, "platform_split of one source_platform": 1, "rows of one id": 2, "shares off target": 0}
+
+
+def test_planted_mix_violations(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    report = spark.createDataFrame([("a", True, 100, 100.0), ("b", True, 5, 100.0)], "source string, can_reach boolean, mix_tokens long, wanted_tokens double")
+    mix = spark.createDataFrame([(0, "a", 1, 0, 3), (1, "a", 1, 1, 3), (1, "b", 2, 0, 3), (2, "b", 2, 1, 3), (3, "c", 9, 0, 3)], "slot long, source string, doc_id long, repetition int, n_tokens long")
+    assert {r["check"]: r["n"] for r in mixing.mix_violations(docs, targets, mix, report).collect()} == {"repeats": 1, "sources": 1, "slots": 1, "sizes": 1}
+
+
 def test_split_shares_with_a_hot_unit(spark):
     units = spark.createDataFrame([("hot", 1000)] + [(f"u{i}", 1) for i in range(2000)], "unit_id string, unit_size long")
     sizes = Counter()
@@ -220,6 +240,38 @@ def test_truncation(spark):
     assert truncation.cut_values(vulns(spark, rows).limit(0))[0].count() == 0
 
 
+def test_the_tries_decide_on_broken_words(spark):
+    rng = random.Random(3)
+    sentences = ["The new version sorts each range before any write.", "When a slow peer waits the queue stops.", "We measured every window of the synchroniser."]
+    lines = ["buffer := allocate(size);", "synchroniser.run(window);", "if total > limit {", "}", "count += window"]
+    rows = []
+    for k in range(200):
+        code = "\n".join(rng.choices(lines, k=6)) + "\n}"
+        rows.append({"id": f"w{k}", "description": " ".join(rng.sample(sentences, 3)), "pre_fix_code": json.dumps([{"file": "a", "hunks": [{"start_line": 1, "code": code}]}])})
+
+    def hunk(last):
+        return json.dumps([{"file": "a", "hunks": [{"start_line": 1, "code": "}\n" + last}]}])
+
+    rows += [
+        # The ending is one of whole sentences, but the word is only part of one; then a whole word there.
+        {"id": "part", "description": sentences[1] + " Odd news about a synch"},
+        {"id": "long", "description": "x" * 3000 + " end."},
+        {"id": "codepart", "pre_fix_code": hunk("count += win")},
+        {"id": "codewhole", "pre_fix_code": hunk("count += window")},
+        {"id": "codeopen", "pre_fix_code": hunk("total > limit >")},
+    ]
+    cases = {(r["id"], r["field_name"]): r["broken_word"] for r in truncation.cut_values(vulns(spark, rows))[0].collect()}
+    assert cases == {("part", "description"): True, ("codepart", "pre_fix_code"): True, ("codeopen", "pre_fix_code"): False}
+
+
+def test_copies_of_a_cut_text_do_not_vouch_for_each_other(spark):
+    whole = "The new version sorts each range before any write. When a slow peer waits the queue stops."
+    rows = [{"id": f"w{k}", "description": whole + f" Number {k} ends here."} for k in range(60)]
+    rows += [{"id": f"c{k}", "description": whole + "\nThe new version sorts each ran"} for k in range(40)]
+    got = {r["id"] for r in truncation.cut_values(vulns(spark, rows))[0].collect()}
+    assert got == {f"c{k}" for k in range(40)}
+
+
 def test_consolidate(spark):
     records = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), (None,), ("a",)], "id string")
     matches = spark.createDataFrame(
