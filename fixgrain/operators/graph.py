@@ -47,15 +47,20 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     scratch = Scratch(edges.sparkSession, "components")
     both = scratch.cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = scratch.cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")), "labels")
+    first = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component"))
+    path = scratch.write(first, "labels")
+    labels = scratch.read(path, first)
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("next"))
         jump = step.join(labels.select(F.col("id").alias("next"), F.col("component").alias("far")), "next", "left").select(
             "id", F.col("component").alias("before"), F.least("next", F.coalesce("far", "next")).alias("component")
         )
-        done = scratch.cut(jump, "labels")
+        after = scratch.write(jump, "labels")
+        done = scratch.read(after, jump)
         labels = done.select("id", "component")
+        scratch.drop(path)
+        path = after
         if done.where("before <> component").isEmpty():
             return labels
     raise RuntimeError(f"labels still changed after {max_rounds} rounds")

@@ -10,7 +10,7 @@ from ..functions.text import matches, slug, title_key
 from ..operators import curate as c
 from ..operators import answers, dedup, diffs, enrich, graph, infer, profile, references, validate
 from ..operators import severity as sv
-from ..runtime import table
+from ..runtime import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,6 +30,11 @@ def _vulns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "ethereum_vulns")
 
 
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings for queries of many patterns."""
+    return spread(_vulns(spark, sf_dir))
+
+
 def _rx(text: str, pattern: str, flags: str = "i") -> str:
     return f"regexp_matches({text}, '{pattern}', '{flags}')"
 
@@ -63,7 +68,7 @@ _FLAGS = _flags()
 
 @query(f"WITH {_FLAGS} SELECT id, source_platform, score, grade, signals, tier FROM k")
 def curate_gate(spark, sf_dir):
-    return c.curate(_vulns(spark, sf_dir)).select("id", "source_platform", "score", "grade", "signals", "tier")
+    return c.curate(_spread(spark, sf_dir)).select("id", "source_platform", "score", "grade", "signals", "tier")
 
 
 @query(
@@ -74,12 +79,12 @@ count(*) FILTER (NOT b1 AND NOT d2 AND NOT d3 AND NOT ok) AS gate_dropped,
 count(*) FILTER (NOT b1 AND NOT d2 AND NOT d3 AND ok AND b1) AS residual FROM u"""
 )
 def funnel_report(spark, sf_dir):
-    return c.funnel(_vulns(spark, sf_dir))
+    return c.funnel(_spread(spark, sf_dir))
 
 
 @query(f"WITH {_FLAGS} SELECT tier, grade, signals, score, count(*) AS n FROM k GROUP BY ALL")
 def tier_histogram(spark, sf_dir):
-    return c.curate(_vulns(spark, sf_dir)).groupBy("tier", "grade", "signals", "score").agg(F.count(F.lit(1)).alias("n"))
+    return c.curate(_spread(spark, sf_dir)).groupBy("tier", "grade", "signals", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
 _NORM = f"""n AS (SELECT {_FILLED.format("source")} AS source_platform, {_FILLED.format("contest")} AS contest, trim(regexp_replace({_FILLED.format("issue_id")}, '^#+', '')) AS issue_id,
@@ -232,7 +237,7 @@ CASE lower(regexp_extract(line, '(?i)\\b(Critical|High|Medium|Low)\\b', 1)) WHEN
 FROM d WHERE r = 1 AND NOT {_rx('line', fixed.URGENCY_TEMPLATE)}"""
 )
 def security_lines_context(spark, sf_dir):
-    return enrich.security_lines(_vulns(spark, sf_dir), "id", "description").select("key", "line_no", "title", "issue_id", "context", "severity")
+    return enrich.security_lines(_spread(spark, sf_dir), "id", "description").select("key", "line_no", "title", "issue_id", "context", "severity")
 
 
 @query(
@@ -283,7 +288,7 @@ _OTHERS = "concat_ws(', ', " + ", ".join(
 
 @query(f"SELECT id, {_OTHERS} AS others, concat_ws(',', {', '.join(f'''CASE WHEN contains(lower({_BOTH}), '{h}') THEN '{h}' END''' for h in fixed.PATH_HINTS)}) AS path_hint FROM ethereum_vulns")
 def platform_mentions(spark, sf_dir):
-    return _vulns(spark, sf_dir).select(
+    return _spread(spark, sf_dir).select(
         "id", enrich.other_platforms(F.coalesce("source_platform", F.lit("")), F.col("description")).alias("others"), enrich.path_hint(F.col("title"), F.col("description")).alias("path_hint")
     )
 
@@ -302,7 +307,7 @@ CASE WHEN source_platform IN {_CONS} THEN {_case('hay', fixed.CONSENSUS_AREAS +
 {_case('hay', fixed.ROOT_CAUSES, 'other')} AS root_cause, {_case('hay', fixed.ATTACK_PATHS, 'malformed_input')} AS attack_path FROM h"""
 )
 def classify_findings(spark, sf_dir):
-    return enrich.classify(_vulns(spark, sf_dir))
+    return enrich.classify(_spread(spark, sf_dir))
 
 
 @query(
@@ -540,7 +545,7 @@ unnest([bl, ws, bg, bs, greatest(0, 1001 - n), 0, ni, (n >= (SELECT count(*) FRO
 )
 def quality_gates(spark, sf_dir):
     """Violations of each gate by the curated table, 0 where it holds; planted ones are found in the tests."""
-    rows = _vulns(spark, sf_dir)
+    rows = _spread(spark, sf_dir)
     return validate.violations(c.build(rows), rows)
 
 
@@ -562,7 +567,7 @@ d AS (SELECT *, row_number() OVER (PARTITION BY coalesce(source_platform, ''), C
 @query(f"WITH {_BUILT} SELECT id, score AS security_score, grade AS confidence, signals AS n_signals, authority_tier, silent_fix_prob, label, cwe_top25, fix_commit, severity_estimated, severity_source, impact_type FROM o")
 def curated_build(spark, sf_dir):
     """The curation from side tables to survivors and estimates."""
-    rows = c.build(_vulns(spark, sf_dir), table(spark, sf_dir, "silent_fix"), _label_table(spark, sf_dir), table(spark, sf_dir, "severity_est"))
+    rows = c.build(_spread(spark, sf_dir), table(spark, sf_dir, "silent_fix"), _label_table(spark, sf_dir), table(spark, sf_dir, "severity_est"))
     return rows.select("id", "security_score", "confidence", "n_signals", "authority_tier", "silent_fix_prob", "label", "cwe_top25", "fix_commit", "severity_estimated", "severity_source", "impact_type")
 
 
@@ -574,7 +579,7 @@ SELECT 'kept' AS stage, count(*) AS n FROM k UNION ALL SELECT 'labelled', count(
 UNION ALL SELECT 'severity:' || coalesce(severity_source, 'none'), count(*) FROM o GROUP BY 1 UNION ALL SELECT 'tier:' || authority_tier, count(*) FROM o GROUP BY 1"""
 )
 def build_report(spark, sf_dir):
-    return c.funnel_with_stages(_vulns(spark, sf_dir), _label_table(spark, sf_dir), table(spark, sf_dir, "severity_est"))
+    return c.funnel_with_stages(_spread(spark, sf_dir), _label_table(spark, sf_dir), table(spark, sf_dir, "severity_est"))
 
 
 _URL = "coalesce(source_url, '')"
@@ -690,7 +695,7 @@ SELECT id, CASE WHEN rc <> '?' THEN rc ELSE CASE vc {' '.join(f"WHEN '{k}' THEN
 def classify_with_reasons(spark, sf_dir):
     """Cause and path with a classifier's reason before the text, and its class where no pattern fits."""
     told = dedup.keep_first(table(spark, sf_dir, "silent_fix").where("source_url is not null"), ["source_url"], ["vuln_class", "reason"])
-    return enrich.classify(_vulns(spark, sf_dir), told).select("id", "root_cause", "attack_path")
+    return enrich.classify(_spread(spark, sf_dir), told).select("id", "root_cause", "attack_path")
 
 
 @query("SELECT id FROM ethereum_vulns WHERE id NOT IN (SELECT id FROM severity_est WHERE id IS NOT NULL)")
@@ -730,7 +735,7 @@ SELECT id, 1 AS label FROM x WHERE plain AND fix AND NOT unclean AND id IN (SELE
 def evaluation_items(spark, sf_dir):
     from ..sources.records import labelled_items
 
-    rows = _vulns(spark, sf_dir)
+    rows = _spread(spark, sf_dir)
     return labelled_items(c.curate(rows), rows)
 
 

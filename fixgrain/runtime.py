@@ -49,11 +49,27 @@ def ship(spark: SparkSession) -> None:
     atexit.register(_remove_local, str(archive.parent))
 
 
+#: Bytes of files a core, below which a table is spread over all cores after it is read.
+SMALL_SHARE = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores if their files are too small to give each core a part of its own.
+
+    For work that is done row by row and costs far more than reading: a file of one row group is
+    read by one task, however much work its rows are. Larger tables are left as they are read, so
+    nothing is shuffled for this where it would cost anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 256 << 10 < size < cores * SMALL_SHARE else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir.
 

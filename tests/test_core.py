@@ -328,6 +328,39 @@ def test_stream_equals_batch(spark, tmp_path: Path):
     assert [tuple(r) for r in spark.table("gate_out").collect()] == [tuple(r) for r in curate.curate(rows).select("id", "tier").collect()]
 
 
+def test_stream_drops_repeats_and_counts_windows(spark, tmp_path: Path):
+    from fixgrain.streaming.gate import new_only, windowed_counts
+
+    rows = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP '2024-01-01 00:10:00', 'x', 1.0D), ('a', TIMESTAMP '2024-01-01 00:11:00', 'x', 1.0D), ('b', TIMESTAMP '2024-01-01 01:10:00', 'y', 2.0D) AS t(k, ts, event_type, value)")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = new_only(stream, "k", "ts", "1 hour").writeStream.format("memory").queryName("new_out").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["k"] for r in spark.table("new_out").collect()) == ["a", "b"]
+    counts = windowed_counts(stream, delay="10 minutes").writeStream.outputMode("complete").format("memory").queryName("count_out").start()
+    counts.processAllAvailable()
+    counts.stop()
+    batch = {(r["window"]["start"], r["event_type"]): (r["n"], r["total"]) for r in windowed_counts(rows).collect()}
+    assert {(r["window"]["start"], r["event_type"]): (r["n"], r["total"]) for r in spark.table("count_out").collect()} == batch and len(batch) == 2
+
+
+def test_other_readers(spark, tmp_path: Path):
+    (tmp_path / "d.json").write_text('[{"a": 1,\n "b": "x"}, {"a": 2}]')
+    assert [tuple(r) for r in files.read_json_documents(spark, str(tmp_path / "d.json"), "a int, b string").collect()] == [(1, "x"), (2, None)]
+    spark.createDataFrame([("a", "geth")], "id string, source_platform string").write.parquet(str(tmp_path / "f"))
+    assert files.load_findings(spark, str(tmp_path / "f")).first()["source"] == "geth" and "source" not in files.load_findings(spark, str(tmp_path / "f"), False).columns
+    urls = spark.createDataFrame([("CVE-1",), ("GHSA-1",), ("RUSTSEC-1",), ("x",)], "i string").select(enrich.advisory_url(F.col("i"))).collect()
+    assert [r[0][-6:] for r in urls] == ["/CVE-1", "GHSA-1", "1.html", ""]
+
+
+def test_normalise_with_limits(spark):
+    rows = spark.createDataFrame([("code4rena", "A b", "#7", "high", "t"), ("geth", "c", "1", "low", "t"), (None, "c", "2", "HIGH", "t")], "source string, contest string, issue_id string, severity string, title string")
+    got = {r["id"]: r["source_url"] for r in enrich.normalise(rows, "d", "t", platform_hint="hint").collect()}
+    assert got == {"code4rena:a-b:7": "https://github.com/code-423n4/a-b/issues/7", "geth:c:1": "", "hint:c:2": ""}
+    assert enrich.normalise(rows, "d", "t", platforms=("Geth ",)).count() == 1 and enrich.normalise(rows, "d", "t", severities=("high",)).count() == 2
+
+
 SF = Path("/root/testdata/sf0.001")
 
 
