@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import Scratch, table
+from ..runtime import Scratch, spread, table
 
 #: Vocabulary file of a public tokenizer; a parameter of every operator here.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -175,7 +175,7 @@ def compose(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER
 
 
 def _compose(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return compose(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return compose(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

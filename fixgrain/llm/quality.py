@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import Scratch, table
+from ..runtime import Scratch, spread, table
 
 # Common words of English, German, French and Spanish.
 DETERMINERS = frozenset(
@@ -214,20 +214,20 @@ def accuracies(documents: DataFrame) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_types(table(spark, sf_dir, "documents")).where("not is_prose").select("doc_id")
+    return text_types(spread(table(spark, sf_dir, "documents"))).where("not is_prose").select("doc_id")
 
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_types(table(spark, sf_dir, "documents"))
+    return text_types(spread(table(spark, sf_dir, "documents")))
 
 
 def p8_accuracies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accuracies(table(spark, sf_dir, "documents"))
+    return accuracies(spread(table(spark, sf_dir, "documents")))
 
 
 def p8_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics alone, shares to nine digits."""
-    rows = measured(table(spark, sf_dir, "documents"))
+    rows = measured(spread(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "word_count", *(F.round(c, 9).alias(c) for c in STATISTICS[1:]))
 
 

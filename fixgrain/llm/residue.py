@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import spread, table
 
 #: Records in the training sample; half of them are taken among those with a suspicious phrase.
 SAMPLE = 8000
@@ -294,18 +294,18 @@ def residue_scores(records: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue_scores(table(spark, sf_dir, "ethereum_vulns")).select("id", "field_name").distinct()
+    return residue_scores(spread(table(spark, sf_dir, "ethereum_vulns"))).select("id", "field_name").distinct()
 
 
 def p4_curated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records left after those with residue in title or description are excluded."""
-    records = table(spark, sf_dir, "ethereum_vulns")
+    records = spread(table(spark, sf_dir, "ethereum_vulns"))
     return records.join(residue_scores(records).select("id").distinct(), "id", "left_anti").select("id", "source_platform", "title")
 
 
 def p4_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement of the model alone with the weak labels, on hosts seen in training and on hosts held out."""
-    return validation(table(spark, sf_dir, "ethereum_vulns"))
+    return validation(spread(table(spark, sf_dir, "ethereum_vulns")))
 
 
 def validation(records: DataFrame, sample: int = SAMPLE) -> DataFrame:

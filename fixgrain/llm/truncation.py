@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import Scratch, table
+from ..runtime import Scratch, spread, table
 from .residue import missing, residue_scores
 
 CODE_FIELDS = ("pre_fix_code", "post_fix_code")
@@ -271,12 +271,12 @@ def cut_values(records: DataFrame, scratch: Scratch | None = None) -> tuple[Data
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_values(table(spark, sf_dir, "ethereum_vulns"))[0].select("id", "field_name")
+    return cut_values(spread(table(spark, sf_dir, "ethereum_vulns")))[0].select("id", "field_name")
 
 
 def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each platform cuts each field; a platform without a name is the empty one."""
-    cases, totals = cut_values(table(spark, sf_dir, "ethereum_vulns"))
+    cases, totals = cut_values(spread(table(spark, sf_dir, "ethereum_vulns")))
     per = cases.groupBy("field_name", F.coalesce("source_platform", F.lit("")).alias("source_platform")).agg(F.count(F.lit(1)).alias("n_cut"))
     return totals.join(per, ["field_name", "source_platform"], "left").select(
         "source_platform", "field_name", "n_values", F.coalesce("n_cut", F.lit(0)).alias("n_cut"), (F.coalesce("n_cut", F.lit(0)) / F.col("n_values")).alias("rate")
@@ -285,7 +285,7 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(field_name, broken_word, n_cut): how many of the cut values end in a part of a word."""
-    cases = cut_values(table(spark, sf_dir, "ethereum_vulns"))[0]
+    cases = cut_values(spread(table(spark, sf_dir, "ethereum_vulns")))[0]
     return cases.groupBy("field_name", "broken_word").agg(F.count(F.lit(1)).alias("n_cut"))
 
 
