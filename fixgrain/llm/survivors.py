@@ -176,12 +176,12 @@ def _applied(guides: pd.Series, winners: pd.Series) -> pd.Series:
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["group_key", "field_name", "column", "slot", "token", "weight"]
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
+    names = ["cell", "column", "slot", "token", "weight"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
     for batch in batches:
         rows = []
-        for group, field, guide, value, weight in zip(*(batch.column(c).to_pylist() for c in ("group_key", "field_name", "guide", "value", "weight"))):
-            rows += [(group, field, *change, weight) for change in changes(guide.split(), value.split())]
+        for cell, guide, value, weight in zip(*(batch.column(c).to_pylist() for c in ("cell", "guide", "value", "weight"))):
+            rows += [(cell, *change, weight) for change in changes(guide.split(), value.split())]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
@@ -203,24 +203,25 @@ def consensus_fields(cells: DataFrame, scratch: Scratch) -> DataFrame:
     )
     best = F.min(F.struct("trust", "value")).alias("best")
     heads = scratch.cut(
-        distinct.groupBy(*on).agg(best, F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n")).select(*on, F.col("best.trust").alias("trust"), F.col("best.value").alias("guide"), "total", "n"),
+        distinct.groupBy(*on).agg(best, F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n")).select(*on, F.col("best.trust").alias("trust"), F.col("best.value").alias("guide"), "total", "n").withColumn("cell", F.monotonically_increasing_id()),
         "heads",
     )
     single = heads.where("n = 1").select(*on, F.col("trust.id").alias("from_id"), F.col("guide").alias("value"))
     several = heads.where("n > 1")
     spread = [*on, F.xxhash64("value")]
     votes = (
-        distinct.join(several.select(*on, "guide"), on).where("value <> guide").select(*on, "guide", "value", "weight").repartition(*spread)
-        .mapInArrow(_vote, "group_key string, field_name string, column int, slot int, token string, weight double")
-        .groupBy(*on, "column", "slot", "token").agg(F.sum("weight").alias("weight"))
+        distinct.join(several.select(*on, "cell", "guide"), on).where("value <> guide").select("cell", "guide", "value", "weight").repartition("cell", F.xxhash64("value"))
+        .mapInArrow(_vote, "cell long, column int, slot int, token string, weight double")
+        .groupBy("cell", "column", "slot", "token").agg(F.sum("weight").alias("weight"))
     )
+    # Votes go by the number that the written heads give each group and field, which is shorter than both names.
     # The guide's token, or nothing in a slot beside it, has all votes that no other token of the column has.
-    columns = votes.groupBy(*on, "column", "slot").agg(F.max(F.struct("weight", "token")).alias("top"), F.sum("weight").alias("against"))
+    columns = votes.groupBy("cell", "column", "slot").agg(F.max(F.struct("weight", "token")).alias("top"), F.sum("weight").alias("against"))
     winners = (
-        columns.join(several.select(*on, "total"), on).where("top.weight > total - against")
-        .groupBy(*on).agg(F.collect_list(F.struct("column", "slot", F.col("top.token").alias("token"))).alias("winners"))
+        columns.join(several.select("cell", "total"), "cell").where("top.weight > total - against")
+        .groupBy("cell").agg(F.collect_list(F.struct("column", "slot", F.col("top.token").alias("token"))).alias("winners"))
     )
-    chosen = several.join(winners, on, "left").select(*on, F.when(F.col("winners").isNull(), F.col("guide")).otherwise(_applied("guide", F.coalesce("winners", F.expr("array()")))).alias("consensus"))
+    chosen = several.join(winners, "cell", "left").select(*on, F.when(F.col("winners").isNull(), F.col("guide")).otherwise(_applied("guide", F.coalesce("winners", F.expr("array()")))).alias("consensus"))
     chosen = scratch.cut(chosen, "consensus")
     far = F.when(F.col("value") == F.col("consensus"), F.lit(0.0)).otherwise(_distances("value", "consensus"))
     near = distinct.join(chosen, on).repartition(*spread).select(*on, far.alias("far"), "trust", "value")
