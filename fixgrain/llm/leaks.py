@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +41,45 @@ SEED = {False: 7, True: 5}
 #: Item passages in one broadcast index; more are searched in several passes, each with an index of this size.
 SHARD = 200_000
 
+#: Words by which texts may shift against each other in an alignment, and words over AGREE that may differ on the way.
+BAND, LEEWAY = 8, 4
+
 _BESIDE = np.full(WORDS - PASSAGE, -2, np.int32)
 #: Words on both sides of such a run that are compared, and how far they may be shifted.
 _AROUND, _SHIFT = WORDS - 7, 2
 _TOKEN = re.compile(r"\w+")
+_MARKUP = re.compile(r"</?(?:a|b|blockquote|br|code|div|em|h[1-6]|hr|i|li|ol|p|pre|span|strong|table|td|th|tr|u|ul)\b[^<>\n]*>|&(?:nbsp|amp|lt|gt|quot|apos|#\d+);", re.I)
 
 
 def words_of(text: str) -> list[str]:
     """Words without case, punctuation, underscores or markup."""
-    return [w for w in _TOKEN.findall(text.replace("_", "").lower())]
+    if "<" in text or "&" in text:
+        text = _MARKUP.sub(" ", text)
+    return _TOKEN.findall(text.replace("_", "").lower())
+
+
+def parts_of(vocabulary: dict[str, int]) -> tuple[set[str], set[str], set[str]]:
+    """What the words begin with, what they end with, and both."""
+    begin, end = {w[:k] for w in vocabulary for k in range(1, len(w))}, {w[k:] for w in vocabulary for k in range(1, len(w))}
+    return begin, end, begin | end
+
+
+def numbers_of(words: list[str], vocabulary: dict[str, int], parts: tuple[set[str], set[str], set[str]]) -> list[int]:
+    """Words as numbers; words of no item are all the same, and a word of an item that a break parts in two is one."""
+    unknown = len(vocabulary)
+    begin, end, either = parts
+    get = vocabulary.get
+    ids = list(map(get, words, repeat(unknown)))
+    out: list[int] = []
+    done = 0
+    for k in [k for k, n in enumerate(ids) if n == unknown and words[k] in either]:
+        for i, known, own in ((k - 1, end, words[k]), (k, begin, words[k])):
+            if own in known and done <= i < len(words) - 1 and (whole := get(words[i] + words[i + 1])) is not None:
+                out += ids[done:i]
+                out.append(whole)
+                done = i + 2
+                break
+    return out + ids[done:]
 
 
 def _runs(is_diff: bool, lines: list[int]) -> list[tuple[int, int]]:
@@ -104,6 +135,20 @@ class Seeds:
             rows += [[-1] * _AROUND, ids, [-1] * width]
             offset += len(ids) + _AROUND + width
         self.flat = np.array([w for r in rows for w in r], np.int32)
+        # The run of own words around each place, its text, and whether a line begins or a text ends there.
+        self.low, self.high, self.text = (np.zeros(len(self.flat), np.int64) for _ in range(3))
+        self.line, self.border = (np.zeros(len(self.flat) + 1, np.int64) for _ in range(2))
+        for t, (_, _, ids, own, lines) in enumerate(texts):
+            start = self.shift[t] + _AROUND
+            cuts = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
+            for a, b in zip(cuts[::2].tolist(), cuts[1::2].tolist()):
+                self.low[start + a : start + b], self.high[start + a : start + b] = start + a, start + b
+            self.text[start : start + len(ids)] = t
+            self.line[start + 1 : start + len(ids) + 1] = np.diff(lines, prepend=-1) != 0
+            self.border[start : start + len(ids)] = self.line[start + 1 : start + len(ids) + 1]
+            self.border[start + len(ids)] = 1
+        # Lines that begin before each place.
+        self.line = np.cumsum(self.line)
         # Words of the shortest passage through each place: nine in ten of them agree, some beyond the shift.
         need = []
         for _, is_diff, ids, _, lines in texts:
@@ -186,43 +231,61 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def aligned(item: list[int], text: list[int], at_item: int, at_text: int) -> tuple[int, int, int, int] | None:
-    """Longest run (item from, to, text from, to) through the two places in which AGREE of the words are common.
+def _grown(a: np.ndarray, at_a: np.ndarray, room: np.ndarray, b: np.ndarray, at_b: np.ndarray, length: np.ndarray, way: int) -> np.ndarray:
+    """How many words of a each pair of places reaches to one side with 0, 1, 2, ... words that differ.
 
-    A longest common subsequence is grown to both sides from the shared passage, word by word;
-    a word that differs, is missing or is added costs what nine common words earn.
+    Rows of the table of a longest common subsequence, BAND words to both sides of the diagonal, for
+    all pairs at once: a word that is replaced, missing or added counts one, and a reach ends with a common
+    word. A pair ends where it has LEEWAY words more that differ than one in ten.
     """
-
-    def grow(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
-        i = j = errors = 0
-        ends = []
-        while i < len(a) and j < len(b):
-            if a[i] == b[j]:
-                i, j = i + 1, j + 1
-                continue
-            ends.append((i, j, errors))
-            errors += 1
-            if errors > 2 + (i + PASSAGE) * 0.15:
-                return ends
-            # The repair after which most of the next words agree; a replaced word before a lost or added one.
-            ahead = max(
-                ((sum(x == y for x, y in zip(a[i + di : i + di + 4], b[j + dj : j + dj + 4])), -abs(di - dj), di, dj) for di, dj in ((1, 1), (1, 0), (0, 1), (2, 1), (1, 2), (2, 2))),
-            )
-            i, j = i + ahead[2], j + ahead[3]
-        ends.append((min(i, len(a)), min(j, len(b)), errors))
-        return ends
-
-    best = None
-    lefts = grow(item[:at_item][::-1], text[:at_text][::-1])
-    for right in grow(item[at_item:], text[at_text:]):
-        for left in lefts:
-            span, errors = left[0] + right[0], left[2] + right[2]
-            if span and errors <= max(1, span * (1 - AGREE) + 1e-9) and (best is None or span > best[0]):
-                best = (span, left, right)
-    if best is None:
-        return None
-    _, left, right = best
-    return at_item - left[0], at_item + right[0], at_text - left[1], at_text + right[1]
+    most = LEEWAY + int(room.max(initial=0) * (1 - AGREE)) + 1
+    reach = np.full((len(at_a), most + 1), -1, np.int32)
+    reach[:, 0] = 0
+    apart = np.arange(-BAND, BAND + 1, dtype=np.int16)
+    live = np.arange(len(at_a))
+    cost = np.where(apart < 0, 4 * BAND, apart).astype(np.int16)[None].repeat(len(live), 0)
+    windows = np.lib.stride_tricks.sliding_window_view(b, 2 * BAND + 1)
+    for i in range(int(room.max(initial=0))):
+        keep = (room[live] > i) & (length[live] > i - BAND) & (cost.min(1) <= LEEWAY + i * (1 - AGREE))
+        if not keep.all():
+            live, cost = live[keep], cost[keep]
+        if not len(live):
+            break
+        same = windows[at_b[live] + way * i - BAND][:, ::way] == a[at_a[live] + way * i][:, None]
+        if i < BAND:
+            same[:, : BAND - i] = False
+        errors = np.where(same, cost, most + 1).min(1)
+        ends = errors <= most
+        reach[live[ends], errors[ends]] = i + 1
+        lost = cost[:, 1:] + np.int16(1)
+        cost = cost + ~same
+        np.minimum(cost[:, :-1], lost, out=cost[:, :-1])
+        cost = np.minimum.accumulate(cost - apart, axis=1) + apart
+    return reach
+
+
+def aligned(a: np.ndarray, at_a: np.ndarray, low: np.ndarray, high: np.ndarray, b: np.ndarray, at_b: np.ndarray, first: np.ndarray, last: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, from, to): the longest run of a, between low and high, through each pair of places that agrees with b in AGREE of its words.
+
+    Pairs without a run of ``least`` words are left out.
+    """
+    right = _grown(a, at_a, high - at_a, b, at_b, last - at_b, 1)
+    left = _grown(a, at_a - 1, at_a - low, b, at_b - 1, at_b - first, -1)
+    pairs = np.flatnonzero(right.max(1) + left.max(1) >= least)
+    right, left, at = right[pairs], left[pairs], at_a[pairs]
+    most, start, end = np.zeros(len(pairs), np.int64), at.copy(), at.copy()
+    errors = np.arange(right.shape[1])
+    rows = np.arange(len(pairs))
+    for k in range(left.shape[1]):
+        span = left[:, k : k + 1] + right
+        good = (left[:, k : k + 1] >= 0) & (right >= 0) & (k + errors <= np.maximum(1, span * (1 - AGREE) + 1e-9))
+        span = np.where(good, span, 0)
+        n = span.argmax(1)
+        better = span[rows, n] > most
+        most[better] = span[rows, n][better]
+        start[better], end[better] = (at - left[:, k])[better], (at + right[rows, n])[better]
+    keep = most >= least[pairs]
+    return pairs[keep], start[keep], end[keep]
 
 
 def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -245,15 +308,9 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE) -> Dat
     # Every word of every document as a number; words of no item are all the same.
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
-        unknown = len(vocabulary)
-
-        class Numbers(dict):
-            def __missing__(self, word: str) -> int:
-                return unknown
-
-        get = Numbers(vocabulary).__getitem__
+        parts = parts_of(vocabulary)
         for batch in batches:
-            ids = [list(map(get, words_of(t))) if t else [] for t in batch.column("text").to_pylist()]
+            ids = [numbers_of(words_of(t), vocabulary, parts) if t else [] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "words"])
 
     numbered = documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(number, "doc_id long, words array<int>")
@@ -266,15 +323,17 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE) -> Dat
 
     # Corpus statistics over all documents: in how many each word stands, and how many passages there are.
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(size + 1, np.int64)
+        seen, last = np.zeros(size + 1, np.int64), np.empty(size + 1, np.int64)
         docs = words = 0
         for batch in batches:
             values, offsets, _ = unpacked(batch)
-            owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            pairs = np.unique(owner * np.int64(size + 1) + values[offsets[0] : offsets[-1]])
-            seen += np.bincount(pairs % (size + 1), minlength=size + 1)
+            # A word counts where it stands in a document for the last time.
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                own, places = values[a:b], np.arange(b - a)
+                last[own] = places
+                seen[own[last[own] == places]] += 1
             docs += len(offsets) - 1
-            words += len(owner)
+            words += int(offsets[-1] - offsets[0])
         yield pa.RecordBatch.from_arrays([pa.array([*range(size + 1), -1, -2]), pa.array([*seen.tolist(), docs, words])], names=["word", "n"])
 
     counts = {r["word"]: r["n"] for r in numbered.select("doc_id", "words").mapInArrow(tally, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
@@ -381,128 +440,154 @@ def _index(texts: list, rows_of: np.ndarray, rng: np.random.Generator) -> tuple:
         centres = _unit(np.vstack([vectors[near == k].sum(0) if (near == k).any() else centres[k] for k in range(cells)]))
     near = (vectors @ centres.T).argmax(1)
     members = [np.flatnonzero(near == k) for k in range(cells)]
-    none = [-1] * len(_BESIDE)
-    padded = [none + ids + none for _, _, ids, _, _ in texts]
-    padded = [x + [-1] * (PASSAGE + 2 * len(none) - len(x)) for x in padded]
-    beside = np.array([padded[t][i : i + PASSAGE + 2 * len(none)] for t, i in places], np.int32)
-    return rows_of, vectors.astype(np.float32), centres.astype(np.float32), members, np.array(places), texts, Seeds(texts), beside
-
-
-def _same(u: np.ndarray, v: np.ndarray, apart: int) -> np.ndarray:
-    """Words in common places of each pair of windows, or up to ``apart`` places from it."""
-    out = (u == v).sum(1)
-    for k in range(1, apart + 1):
-        out += (u[:, k:] == v[:, :-k]).sum(1) + (u[:, :-k] == v[:, k:]).sum(1)
+    where = np.array(places, np.int64)
+    seeds = Seeds(texts)
+    where = where[:, 1] + np.array(seeds.shift, np.int64)[where[:, 0]] + _AROUND
+    marks = _signs(seeds.flat)[where]
+    # The words of each cell; words of no item are of none.
+    words = np.zeros((cells, len(rows_of)), bool)
+    for k in range(PASSAGE):
+        words[near, seeds.flat[where + k]] = True
+    words[:, -1] = False
+    return rows_of, vectors.astype(np.float32), centres.astype(np.float32), members, words, where, marks, texts, seeds
+
+
+def _signs(ids: np.ndarray) -> np.ndarray:
+    """The words of the passage at each place as bits of a number."""
+    out = np.uint64(1) << ((ids.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
+    held = 1
+    while held < PASSAGE:
+        more = min(held, PASSAGE - held)
+        out, held = out[:-more] | out[more:], held + more
     return out
 
 
-def _search_group(group, keys, latent_rows, queries, middle, inside, where, texts, seeds, item_windows, cosine) -> list[tuple]:
-    side = len(_BESIDE)
+def _same(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, beside: int, apart: int) -> np.ndarray:
+    """Words in common places of each pair of passages and ``beside`` words around, or up to ``apart`` places from it."""
+    out = np.zeros(len(p), np.uint8)
+    for i in range(0, len(p), 8192):
+        x, y, total = p[i : i + 8192] - beside, q[i : i + 8192] - beside, out[i : i + 8192]
+        u, v = ([text[at + k] for k in range(PASSAGE + 2 * beside)] for text, at in ((a, x), (b, y)))
+        for k in range(len(u)):
+            for d in range(max(0, k - apart), min(len(v), k + apart + 1)):
+                total += u[k] == v[d]
+    return out
+
+
+def _search_group(group, keys, latent_rows, queries, middle, inside, words, where, marks, texts, seeds, cosine) -> list[tuple]:
     gap = np.full(SEED[False] + 2 * _AROUND, -2, np.int32)
     flat = np.concatenate([gap] + [x for _, own, _ in group for x in (own, gap)])
     shift = np.concatenate([[0], np.cumsum([len(own) + len(gap) for _, own, _ in group])])[:-1] + len(gap)
-    # A leak holds a candidate, and only passages that a run of WORDS words through one takes are searched.
-    touched = np.zeros(len(flat) + 1, np.int64)
-    hits: list[tuple[int, int, int, int, float]] = []
+    found = [_near(group, flat, shift, latent_rows, queries, middle, inside, words, where, marks, seeds.flat, cosine)]
     for is_diff in SEED:
         p, q = seeds.candidates(flat, is_diff)
-        touched[p] = 1
-        if len(p):
-            g = np.searchsorted(shift, p, "right") - 1
-            place = p - shift[g]
-            t, i = seeds.tables[is_diff][1][q].T
-            score = _cosines(group, texts, latent_rows, g, place, t, i)
-            hits += zip(g.tolist(), place.tolist(), t.tolist(), i.tolist(), score.tolist())
-    total = np.concatenate([[0], np.cumsum(touched)])
-    # Passages with too many words of no item cannot reach LEAST_SAME common words.
-    unknown = len(latent_rows) - 1
-    usable = []
-    for k, (_, own, at) in enumerate(group):
-        if len(at):
-            strange = np.concatenate([[0], np.cumsum(own == unknown)])
-            at = at[strange[at + PASSAGE] - strange[at] <= PASSAGE - LEAST_SAME]
-            at = at[total[at + shift[k] + WORDS] - total[at + shift[k] - side] > 0]
-        if len(at):
-            usable.append((k, own, at))
-    if usable:
-        hits += _near(usable, flat, shift, latent_rows, queries, middle, inside, where, item_windows, cosine)
+        found.append((p, seeds.tables[is_diff][2][q] + _AROUND))
+    at_text, at_item = (np.concatenate(x) for x in zip(*found))
+    if not len(at_text):
+        return []
+    at_text, at_item = _anchored(flat, seeds, at_text, at_item)
+    ends = shift + [len(own) for _, own, _ in group]
+    g = np.searchsorted(shift, at_text, "right") - 1
+    is_diff_text = np.array([text[1] for text in texts])
     out: list[tuple] = []
-    done: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
-    plain: dict[int, list[int]] = {}
-    for g, at_text, t, at_item, s in sorted(hits, key=lambda h: -h[4]):
-        if any(a <= at_item < b and c <= at_text < d for a, b, c, d in done.get((g, t), ())):
-            continue
-        item, is_diff, ids, own, lines = texts[t]
-        if g not in plain:
-            plain[g] = group[g][1].tolist()
-        span = aligned(ids, plain[g], at_item, at_text)
-        if span is None:
-            continue
-        done.setdefault((g, t), []).append(span)
-        n, n_lines = _own(own, lines, span)
-        if (n_lines >= LINES) if is_diff else (n >= WORDS):
-            out.append((item, keys[group[g][0]], "diff" if is_diff else "description", n, n_lines, s))
+    # The table has a column for each word that may differ, in the longest text of an item.
+    size = max(1, 4_000_000 // (LEEWAY + 2 + int((seeds.high - seeds.low).max() * (1 - AGREE))))
+    for k in range(0, len(g), size):
+        p, q, own = at_text[k : k + size], at_item[k : k + size], g[k : k + size]
+        t = seeds.text[q]
+        diff = is_diff_text[t]
+        pairs, start, end = aligned(seeds.flat, q, seeds.low[q], seeds.high[q], flat, p, shift[own], ends[own], np.where(diff, LINES, WORDS))
+        n_lines = np.maximum(0, seeds.line[end] - seeds.line[start] - (1 - seeds.border[end]))
+        keep = ~diff[pairs] | (n_lines >= LINES)
+        pairs, n_lines, n_words = pairs[keep], n_lines[keep], (end - start)[keep]
+        score = _cosines(flat, seeds.flat, latent_rows, p[pairs], q[pairs])
+        for j, n, lines, s in zip(pairs.tolist(), n_words.tolist(), n_lines.tolist(), score.tolist()):
+            item, is_diff = texts[t[j]][:2]
+            out.append((item, keys[group[own[j]][0]], "diff" if is_diff else "description", n, lines, s))
     return out
 
 
-def _cosines(group, texts, latent_rows, g, place, t, i) -> np.ndarray:
+def _anchored(flat: np.ndarray, seeds: Seeds, at_text: np.ndarray, at_item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of the longest runs of equal words in each pair of passages, once each."""
+    longest = np.zeros(len(at_text), np.int64)
+    start = np.zeros(len(at_text), np.int64)
+    run = np.zeros(len(at_text), np.int64)
+    for k in range(PASSAGE):
+        run = np.where(flat[at_text + k] == seeds.flat[at_item + k], run + 1, 0)
+        better = run > longest
+        longest[better], start[better] = run[better], k + 1 - run[better]
+    p, q = (at_text + start)[longest > 0], (at_item + start)[longest > 0]
+    back = np.arange(len(p))
+    while len(back):
+        back = back[(q[back] > seeds.low[q[back]]) & (flat[p[back] - 1] == seeds.flat[q[back] - 1])]
+        p[back] -= 1
+        q[back] -= 1
+    both = np.unique(p * np.int64(len(seeds.flat)) + q)
+    return both // len(seeds.flat), both % len(seeds.flat)
+
+
+def _cosines(flat, item_flat, latent_rows, p, q) -> np.ndarray:
     """The cosine of the two passages that start at each pair of places, shorter at the end of a text."""
-
-    def sums(ids, at) -> np.ndarray:
-        return latent_rows[np.asarray(ids[at : at + PASSAGE], np.int64)].sum(0)
-
-    u = np.array([sums(group[a][1], b) for a, b in zip(g.tolist(), place.tolist())])
-    v = np.array([sums(texts[a][2], b) for a, b in zip(t.tolist(), i.tolist())])
+    own = np.arange(PASSAGE)
+    u, v = flat[p[:, None] + own], item_flat[q[:, None] + own]
+    # Beyond the end of a text there is no word, which says as little as a word of no item.
+    u, v = (latent_rows[np.where((x < 0) | (np.minimum.accumulate(x, axis=1) < 0), -1, x)].sum(1) for x in (u, v))
     return (_unit(u) * _unit(v)).sum(1)
 
 
-def _near(group, flat, shift, latent_rows, queries, middle, inside, where, item_windows, cosine) -> list[tuple]:
-    """(text, place, item text, item place, cosine) of the corpus passages that are near an item passage."""
-    side = len(_BESIDE)
-    got = _unit(np.vstack([passages(latent_rows, own, at) for _, own, at in group]))
-    doc = np.repeat([k for k, _, _ in group], [len(at) for _, _, at in group])
-    place = np.concatenate([at for _, _, at in group])
+def _near(group, flat, shift, latent_rows, queries, middle, inside, words, where, marks, item_flat, cosine) -> tuple[np.ndarray, np.ndarray]:
+    """(place in flat, item place) of all corpus passages that are near an item passage."""
+    unknown = len(latent_rows) - 1
+    at = np.concatenate([at + s for (_, _, at), s in zip(group, shift)])
+    # Passages with too many words of no item cannot reach LEAST_SAME common words.
+    strange = np.concatenate([[0], np.cumsum(flat == unknown)])
+    at = at[strange[at + PASSAGE] - strange[at] <= PASSAGE - LEAST_SAME]
+    none = np.empty(0, np.int64)
+    if not len(at):
+        return none, none
+    windows = np.lib.stride_tricks.sliding_window_view(flat, PASSAGE)[at]
+    got = _unit(sum(latent_rows[windows[:, k]] for k in range(PASSAGE)))
+    lacks = ~_signs(flat)[at]
     close = got @ middle.T
-    probes = min(PROBES, middle.shape[0])
-    cell = close.argmax(1)[:, None] if probes == 1 else np.argsort(-close, axis=1)[:, :probes]
-    windows = np.lib.stride_tricks.sliding_window_view(flat, PASSAGE + 2 * side)[place + shift[doc] - side]
-    hits: list[tuple] = []
+    cell = np.empty((len(at), min(PROBES, middle.shape[0])), np.int64)
+    for k in range(cell.shape[1]):
+        cell[:, k] = close.argmax(1)
+        close[np.arange(len(at)), cell[:, k]] = -2
+    # A passage with fewer words of a cell than LEAST_SAME has fewer in common with each passage of it.
+    held, of_cells = np.zeros(cell.shape, np.uint8), cell * len(latent_rows)
+    for k in range(PASSAGE):
+        held += words.ravel()[of_cells + windows[:, k][:, None]]
+    cell[held < LEAST_SAME] = middle.shape[0]
     by_cell = np.argsort(cell, axis=None, kind="stable")
     bounds = np.searchsorted(cell.ravel()[by_cell], np.arange(middle.shape[0] + 1))
+    hits = [(none, none)]
+    # Blocks of this many pairs stay in a core's own memory.
+    block = 1 << 16
+    scores, near = np.empty(block, np.float32), np.empty(block, bool)
     for k in range(middle.shape[0]):
         asking = by_cell[bounds[k] : bounds[k + 1]] // cell.shape[1]
-        if len(asking) and len(inside[k]):
-            score = got[asking] @ queries[inside[k]].T
-            x, y = np.nonzero(score >= cosine)
-            if len(x):
-                # Few words in common places, even up to two places apart, leave no common run of
-                # WORDS words through the passage; first the passages alone, then with their sides.
-                p, q = asking[x], inside[k][y]
-                keep = _same(windows[p, side:-side], item_windows[q, side:-side], 1) >= LEAST_SAME
-                x, y, p, q = x[keep], y[keep], p[keep], q[keep]
-                keep = _same(windows[p], item_windows[q], 2) >= LEAST_BESIDE
-                p, q = p[keep], q[keep]
-                hits += zip(doc[p].tolist(), place[p].tolist(), where[q, 0].tolist(), where[q, 1].tolist(), score[x[keep], y[keep]].tolist())
-    return hits
-
-
-def _own(own: np.ndarray, lines: np.ndarray, span: tuple[int, int, int, int]) -> tuple[int, int]:
-    """Words in the longest run of the span that is the item's own wording, and whole lines in it."""
-    a, b = span[0], span[1]
-    best = (0, 0)
-    i = a
-    while i < b:
-        if not own[i]:
-            i += 1
+        if not len(asking) or not len(inside[k]):
             continue
-        j = i
-        while j < b and own[j]:
-            j += 1
-        inside = lines[i:j]
-        whole = sum(1 for k in set(inside.tolist()) if (lines == k).sum() == (inside == k).sum())
-        best = max(best, (j - i, whole))
-        i = j
-    return best
+        of_cell, vectors, of_marks, of_lacks = queries[inside[k]].T.copy(), got[asking], marks[inside[k]], lacks[asking]
+        width = max(1, block // len(asking)) if len(inside[k]) > block else len(inside[k])
+        for c in range(0, len(inside[k]), width):
+            for i in range(0, len(asking), max(1, block // width)):
+                u, v = vectors[i : i + max(1, block // width)], of_cell[:, c : c + width]
+                size = len(u) * v.shape[1]
+                np.matmul(u, v, out=scores[:size].reshape(len(u), -1))
+                hit = np.flatnonzero(np.greater_equal(scores[:size], cosine, out=near[:size])).astype(np.uint32)
+                x = hit // np.uint32(v.shape[1])
+                y = hit - x * np.uint32(v.shape[1])
+                # Each place takes one word away at most, so passages that lack more words than that are out.
+                keep = np.bitwise_count(of_marks[c:][y] & of_lacks[i:][x]) <= PASSAGE - LEAST_SAME
+                hits.append((at[asking[i:][x[keep]]], where[inside[k][c:][y[keep]]]))
+    p, q = (np.concatenate(x) for x in zip(*hits))
+    # Few words in common places, even up to two places apart, leave no common run of
+    # WORDS words through the passage; first the passages alone, then with their sides.
+    keep = _same(flat, item_flat, p, q, 0, 1) >= LEAST_SAME
+    p, q = p[keep], q[keep]
+    keep = _same(flat, item_flat, p, q, len(_BESIDE), 2) >= LEAST_BESIDE
+    return p[keep], q[keep]
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

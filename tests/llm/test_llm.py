@@ -362,6 +362,57 @@ def test_a_quotation_does_not_hide_a_passage(spark):
     assert {(r["item_id"], r["doc_id"]) for r in got.collect()} == {(k, k) for k in range(6)}
 
 
+def searched(items, texts):
+    """What the search finds with an index of the items' passages, without a session."""
+    known = leaks.Items(items)
+    rng = np.random.default_rng(1)
+    rows = rng.standard_normal((len(known.vocabulary) + 1, leaks.RANK)).astype(np.float32)
+    rows[-1] = 0
+    own = [np.array([known.vocabulary.get(w, len(known.vocabulary)) for w in leaks.words_of(t)], np.int32) for t in texts]
+    group = [(k, x, leaks.starts(len(x), leaks.STEP)) for k, x in enumerate(own)]
+    return {x[:2] for x in leaks._search_group(group, list(range(len(texts))), *leaks._index(known.texts, rows, rng), leaks.COSINE)}
+
+
+def test_the_latent_search_reaches_all_passages(monkeypatch):
+    rng = random.Random(9)
+    items = [(k, prose(rng, 80), "\n".join("+ " + prose(rng, 5) for _ in range(12))) for k in range(10)]
+    texts = []
+    for k in range(40):
+        words = items[k % 10][1].split()[k : k + 30]
+        words[9], words[20] = "changed", "too"
+        texts.append(f"{prose(rng, 40 + k)} {' '.join(words)} {prose(rng, 40)}")
+    none = np.empty(0, np.int64)
+    monkeypatch.setattr(leaks.Seeds, "candidates", lambda *_: (none, none))
+    assert searched(items, texts) == {(k % 10, k) for k in range(40)}
+
+
+def test_words_that_differ_side_by_side_count_each():
+    rng = random.Random(10)
+    items = [(k, prose(rng, 27), None) for k in range(10)]
+    texts = []
+    for k in range(10):
+        words = items[k][1].split()
+        for place in (9, 18):
+            words[place : place + 2] = ["changed", "too"]
+        texts.append(f"{prose(rng, 40)} {' '.join(words)} {prose(rng, 40)}")
+    assert searched(items, texts) == set()
+    assert searched(items, [f"so it is {x[1]} and more" for x in items]) == {(k, k) for k in range(10)}
+
+
+def test_broken_words_and_markup_are_layout(spark):
+    rng = random.Random(11)
+    items = [(k, prose(rng, 60), None) for k in range(6)]
+    docs = []
+    for k in range(6):
+        words = items[k][1].split()[20:46]
+        for place in (4, 9, 14, 19):
+            words[place] = words[place][:3] + " " + words[place][3:]
+        words[12] = "<br> &nbsp;" + words[12] + "</p>"
+        docs.append((k, f"{prose(rng, 60)} {' '.join(words)} {prose(rng, 60)}"))
+    got = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, description string, diff string"))
+    assert {(r["item_id"], r["doc_id"]) for r in got.collect()} == {(k, k) for k in range(6)}
+
+
 def test_pfair_stays_within_one_block():
     weights = {"a": 0.5, "b": 0.3, "c": 0.2, "none": 0.0}
     slots = mixing.pfair(weights, 1000)
