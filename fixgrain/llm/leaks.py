@@ -28,6 +28,9 @@ PASSAGE, STEP = 14, 5
 RANK, FITTED = 64, 40_000
 #: Cosine from which a passage is a candidate; coarse cells of item passages, and cells searched.
 COSINE, CELLS, PROBES = 0.7, 128, 5
+#: Parts of a cell; of each it is known which words it holds. The eight parts' counts are held in one number.
+PARTS = 8
+_COUNTS = np.array([sum((k >> i & 1) << 8 * i for i in range(PARTS)) for k in range(256)], np.uint64)
 #: Words that candidates must have in common places for an alignment to be tried.
 LEAST_SAME = 10
 #: The same, counting the words on both sides that a run of WORDS words through the passage may take.
@@ -42,12 +45,14 @@ SEED = {False: 7, True: 5}
 SHARD = 200_000
 
 #: Words by which texts may shift against each other in an alignment, and words over AGREE that may differ on the way.
-BAND, LEEWAY = 8, 4
+BAND, LEEWAY = 5, 4
 
 _BESIDE = np.full(WORDS - PASSAGE, -2, np.int32)
 #: Words on both sides of such a run that are compared, and how far they may be shifted.
 _AROUND, _SHIFT = WORDS - 7, 2
 _TOKEN = re.compile(r"\w+")
+#: The same for texts in ASCII, which are then split at spaces.
+_ASCII = {k: None if chr(k) == "_" else chr(k).lower() if chr(k).isalnum() else " " for k in range(128)}
 _MARKUP = re.compile(r"</?(?:a|b|blockquote|br|code|div|em|h[1-6]|hr|i|li|ol|p|pre|span|strong|table|td|th|tr|u|ul)\b[^<>\n]*>|&(?:nbsp|amp|lt|gt|quot|apos|#\d+);", re.I)
 
 
@@ -55,6 +60,8 @@ def words_of(text: str) -> list[str]:
     """Words without case, punctuation, underscores or markup."""
     if "<" in text or "&" in text:
         text = _MARKUP.sub(" ", text)
+    if text.isascii():
+        return text.translate(_ASCII).split()
     return _TOKEN.findall(text.replace("_", "").lower())
 
 
@@ -310,8 +317,10 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE) -> Dat
         vocabulary = shared.value
         parts = parts_of(vocabulary)
         for batch in batches:
-            ids = [numbers_of(words_of(t), vocabulary, parts) if t else [] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "words"])
+            ids = [np.array(numbers_of(words_of(t), vocabulary, parts) if t else [], np.int32) for t in batch.column("text").to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            column = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], names=["doc_id", "words"])
 
     numbered = documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(number, "doc_id long, words array<int>")
     numbered = scratch.cut(numbered, "numbered")
@@ -392,7 +401,7 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE) -> Dat
                     if len(own) >= min(SEED.values()):
                         group.append((k, own, starts(len(own), STEP)))
                         held += len(own) // STEP
-                    if held > 20_000 or (k == len(offsets) - 2 and group):
+                    if held > 60_000 or (k == len(offsets) - 2 and group):
                         out += _search_group(group, keys, *index.value, cosine)
                         group, held = [], 0
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
@@ -439,16 +448,17 @@ def _index(texts: list, rows_of: np.ndarray, rng: np.random.Generator) -> tuple:
         near = (vectors @ centres.T).argmax(1)
         centres = _unit(np.vstack([vectors[near == k].sum(0) if (near == k).any() else centres[k] for k in range(cells)]))
     near = (vectors @ centres.T).argmax(1)
-    members = [np.flatnonzero(near == k) for k in range(cells)]
+    members = [x for k in range(cells) for x in np.array_split(np.flatnonzero(near == k), PARTS)]
     where = np.array(places, np.int64)
     seeds = Seeds(texts)
     where = where[:, 1] + np.array(seeds.shift, np.int64)[where[:, 0]] + _AROUND
     marks = _signs(seeds.flat)[where]
-    # The words of each cell; words of no item are of none.
-    words = np.zeros((cells, len(rows_of)), bool)
-    for k in range(PASSAGE):
-        words[near, seeds.flat[where + k]] = True
-    words[:, -1] = False
+    # The words of each part of a cell as bits of a byte; words of no item are of none.
+    words = np.zeros((cells, len(rows_of)), np.uint8)
+    for k, own in enumerate(members):
+        for i in range(PASSAGE):
+            words[k // PARTS, seeds.flat[where[own] + i]] |= 1 << k % PARTS
+    words[:, -1] = 0
     return rows_of, vectors.astype(np.float32), centres.astype(np.float32), members, words, where, marks, texts, seeds
 
 
@@ -553,19 +563,20 @@ def _near(group, flat, shift, latent_rows, queries, middle, inside, words, where
     for k in range(cell.shape[1]):
         cell[:, k] = close.argmax(1)
         close[np.arange(len(at)), cell[:, k]] = -2
-    # A passage with fewer words of a cell than LEAST_SAME has fewer in common with each passage of it.
-    held, of_cells = np.zeros(cell.shape, np.uint8), cell * len(latent_rows)
+    # A passage with fewer words of a part than LEAST_SAME has fewer in common with each passage of it.
+    held, of_cells = np.zeros(cell.shape, np.uint64), cell * len(latent_rows)
     for k in range(PASSAGE):
-        held += words.ravel()[of_cells + windows[:, k][:, None]]
-    cell[held < LEAST_SAME] = middle.shape[0]
-    by_cell = np.argsort(cell, axis=None, kind="stable")
-    bounds = np.searchsorted(cell.ravel()[by_cell], np.arange(middle.shape[0] + 1))
+        held += _COUNTS[words.ravel()[of_cells + windows[:, k][:, None]]]
+    x, part = np.nonzero(held.astype("<u8").view(np.uint8).reshape(-1, PARTS) >= LEAST_SAME)
+    part += cell.ravel()[x] * PARTS
+    order = np.argsort(part.astype(np.uint16), kind="stable")
+    by_part, bounds = (x // cell.shape[1])[order], np.searchsorted(part[order], np.arange(len(inside) + 1))
     hits = [(none, none)]
     # Blocks of this many pairs stay in a core's own memory.
     block = 1 << 16
     scores, near = np.empty(block, np.float32), np.empty(block, bool)
-    for k in range(middle.shape[0]):
-        asking = by_cell[bounds[k] : bounds[k + 1]] // cell.shape[1]
+    for k in range(len(inside)):
+        asking = by_part[bounds[k] : bounds[k + 1]]
         if not len(asking) or not len(inside[k]):
             continue
         of_cell, vectors, of_marks, of_lacks = queries[inside[k]].T.copy(), got[asking], marks[inside[k]], lacks[asking]
