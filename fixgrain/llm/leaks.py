@@ -1,10 +1,10 @@
 """Problem 6: evaluation texts that leak into training text, by latent semantic retrieval.
 
 Passages of the corpus and of the items become TF-IDF vectors over the items' words, reduced by
-a randomised singular value decomposition. A leak agrees in nine words of ten, so it holds some run
-of SEED words of the item unchanged: only corpus passages around such runs are searched. One whose
-vector has a large cosine with an item passage is a candidate, and so is every such run with enough
-equal words around it; a longest common subsequence of the two texts decides.
+a randomised singular value decomposition. A corpus passage whose vector has a large cosine with an
+item passage is a candidate. A leak agrees in nine words of ten, so it also holds some run of SEED
+words of the item unchanged: such runs with enough equal words around are candidates as well. A
+longest common subsequence of the two texts decides.
 """
 
 from __future__ import annotations
